@@ -1,0 +1,112 @@
+"""Training and test metrics of the relational-responding experiments, from trial log to report."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.rsem import half_even, pass_label, percent
+from ..operators.cohort import P, completers, in_cohort, keep_phases
+from ..operators.metrics import grand_stats, proportion_passing
+from ..operators.reshape import pivot_metrics, total_trials
+from ..operators.skew import join_per_key
+
+
+def base_metrics(
+    trials: DataFrame, passthrough: list[str] = ["condition"], threshold: float = 0.80,
+    round_duration: bool = False, key: str = P,
+) -> DataFrame:
+    """One row per block with the metrics of the block and of its phase.
+
+    Trial rows are aggregated on the map side straight to blocks; phase metrics roll
+    the block sums up, so nothing is ever computed over trial rows a second time.
+    Participants with several passthrough values get one row for each, all carrying
+    the metrics of the whole block.
+    """
+    phase_keys = [key, "phase", "is_test"]
+    block_keys = [*phase_keys, "block"]
+    part = trials.groupBy(*block_keys, *passthrough).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count("correct").alias("_n_correct"),
+        F.sum("correct").alias("_correct"),
+        F.count("criterion").alias("_n_criterion"),
+        F.max("criterion").alias("_criterion"),
+        F.count("duration").alias("_n_duration"),
+        F.sum("duration").alias("_duration"),
+    )
+    # One row per passthrough combination of a block.
+    w = W.partitionBy(*block_keys)
+    n = F.sum("_n").over(w)
+
+    def whole(count: str, value):
+        return F.when(F.sum(count).over(w) == n, value)
+
+    duration = whole("_n_duration", F.sum("_duration").over(w) / n)
+    blocks = part.select(
+        *block_keys, *passthrough,
+        whole("_n_criterion", F.max("_criterion").over(w)).alias("criterion"),
+        whole("_n_correct", F.sum("_correct").over(w) / n).alias("blockAcc"),
+        (half_even(duration) if round_duration else duration).alias("duration"),
+        "_n", "_n_correct", "_correct",
+    )
+    complete = F.sum("_n") == F.sum("_n_correct")
+    phases = blocks.groupBy(*phase_keys).agg(
+        F.when(complete, F.sum("_correct") / F.sum("_n")).alias("accuracy"),
+        pass_label(F.when(complete, F.max("blockAcc")) >= threshold).alias("pass"),
+        F.sum("_n").alias("trialCount"),
+    )
+    return join_per_key(blocks.drop("_n", "_n_correct", "_correct"), phases, phase_keys, "left")
+
+
+def base_log(
+    trials: DataFrame, phases: list[str], target: str, threshold: float = 0.80,
+    round_duration: bool = False, key: str = P,
+) -> DataFrame:
+    """Base metrics of the participants who reached the target phase."""
+    kept = keep_phases(trials, phases)
+    return completers(base_metrics(kept, ["condition"], threshold, round_duration, key), target, key)
+
+
+def test_cohort(base: DataFrame, phase: str, cohort: DataFrame | None = None, key: str = P) -> DataFrame:
+    """Whole-percent test accuracy per participant with mean and sd over block rows.
+
+    The sd is that of the rounded accuracies, each counted once per block row.
+    """
+    rows = keep_phases(base, [phase])
+    rows = in_cohort(rows, cohort, key) if cohort is not None else rows
+    rows = rows.withColumn("accuracy", percent("accuracy"))
+    rows = rows.groupBy("condition", key, "phase", "accuracy").agg(F.count(F.lit(1)).alias("_rows"))
+    return grand_stats(rows, "accuracy", weight="_rows").drop("_rows")
+
+
+def relational_test(base: DataFrame, phase: str, is_test: int = 1, key: str = P) -> DataFrame:
+    """Block accuracy of the relational test with mean and sd over block rows."""
+    rows = base.where((F.col("phase") == phase) & (F.col("is_test") == is_test))
+    columns = ["condition", key, "phase", "is_test", "blockAcc", "pass"]
+    rows = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"))
+    return grand_stats(rows, "blockAcc", "meanAcc", "sdAcc", weight="_rows").drop("_rows")
+
+
+def training_long(
+    base: DataFrame, phases: list[str], cohort: DataFrame, threshold: int = 17, key: str = P
+) -> DataFrame:
+    """Per participant and phase: best criterion, pass label and trials, with the phase's pass rate."""
+    rows = in_cohort(keep_phases(base, phases), cohort, key)
+    rows = rows.groupBy("condition", "phase", key, "trialCount").agg(
+        F.max("criterion").alias("_best"), (F.count(F.lit(1)) == F.count("criterion")).alias("_known")
+    )
+    w = W.partitionBy(key, "phase")
+    best = F.when(F.min("_known").over(w), F.max("_best").over(w))
+    rows = rows.withColumn("criterion", best).withColumn("pass", pass_label(F.col("criterion") >= threshold))
+    return proportion_passing(rows.drop("_best", "_known"))
+
+
+def training_wide(
+    base: DataFrame, phases: list[str], cohort: DataFrame, counted: list[str],
+    threshold: int = 17, key: str = P,
+) -> DataFrame:
+    """One row per participant with pass, criterion and trials of every phase, and total trials."""
+    long = training_long(base, phases, cohort, threshold, key)
+    wide = pivot_metrics(long, [key], "phase", ["pass", "criterion", "trialCount"], phases)
+    return total_trials(wide, [f"trialCount_{p}" for p in counted])
