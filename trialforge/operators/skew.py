@@ -6,8 +6,9 @@ fewer than ``MAX_HOT_GROUPS`` hot groups and their keys can be broadcast whateve
 the size of the table.  Everything else goes through an ordinary shuffle join.
 
 Operators look for hot groups first, with one map-side combined count over the key
-columns.  Most logs have none and then get the plain Spark plan; otherwise the few
-hot keys are checkpointed, so that all branches of the plan use the same set.
+columns.  Most logs have none and then get the plain Spark plan.  With hot groups a
+right side of at most ``broadcastRows`` counted rows is broadcast whole; otherwise
+the few hot keys are checkpointed, so that all branches of the plan use the same set.
 """
 
 from __future__ import annotations
@@ -25,6 +26,9 @@ MAX_HOT_GROUPS = 50_000
 HOT_ROWS_CONF = "spark.trialforge.hotGroupRows"
 HOT_ROWS_DEFAULT = 1_000_000
 
+#: Session setting: counted rows up to which a whole table may be broadcast.
+BROADCAST_ROWS_CONF = "spark.trialforge.broadcastRows"
+
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
@@ -32,6 +36,17 @@ def hot_group_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
 
 
+def broadcast_rows(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get(BROADCAST_ROWS_CONF, str(MAX_HOT_GROUPS)))
+
+
+def group_profile(df: DataFrame, keys: list[str]) -> tuple[int, int]:
+    """Rows of the largest group and number of groups."""
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    row = sizes.agg(F.max("_n"), F.count(F.lit(1))).first()
+    return (row[0] or 0, row[1])
+
+
 def total_rows(df: DataFrame) -> Column:
     """Row count of ``df`` as a scalar subquery."""
     return df.agg(F.count(F.lit(1)).alias("_total")).scalar()
@@ -49,8 +64,7 @@ def hot_groups(df: DataFrame, keys: list[str], *extra: Column) -> DataFrame | No
         return None
     limit = F.greatest(F.lit(floor), total_rows(df) / F.lit(float(MAX_HOT_GROUPS)))
     sizes = df.groupBy(*keys).agg(count, *extra).withColumn("_limit", limit)
-    scratch_folder(df.sparkSession)
-    return sizes.where(F.col("_n") > F.col("_limit")).checkpoint()
+    return materialize(sizes.where(F.col("_n") > F.col("_limit")))
 
 
 def scratch_folder(spark: SparkSession) -> str:
@@ -61,6 +75,12 @@ def scratch_folder(spark: SparkSession) -> str:
     return named or spark.sparkContext.getCheckpointDir()
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write a reduced frame once, where later steps read it several times."""
+    scratch_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def null_safe_on(keys: list[str], prefix: str) -> Column:
     return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(prefix + k)) for k in keys])
 
@@ -69,27 +89,35 @@ def prefixed(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     return df.withColumnsRenamed({k: prefix + k for k in keys})
 
 
-def join_per_key(rows: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+def join_per_key(
+    rows: DataFrame, right: DataFrame, keys: list[str], how: str = "left", right_is_grouped: bool = False
+) -> DataFrame:
     """Join many ``rows`` per key with a ``right`` side that has one row per key.
 
     ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``; missing keys
-    match each other.  Rows of hot keys meet their few partners by a broadcast and
-    are never shuffled; no key of the remaining rows exceeds the limit.
+    match each other.  ``right_is_grouped`` says that ``right`` has exactly the keys
+    of ``rows``.  Rows of hot keys meet their few partners by a broadcast and are
+    never shuffled; no key of the remaining rows exceeds the limit.
     """
-    right = prefixed(right, keys, "_r_")
+    prepared = prefixed(right, keys, "_r_")
     on = null_safe_on(keys, "_r_")
     drop = ["_r_" + k for k in keys]
+    largest, groups = group_profile(rows, keys)
+    if largest <= hot_group_rows(rows):
+        return rows.join(prepared, on, how).drop(*drop)
+    most = broadcast_rows(rows)
+    partners = groups if right_is_grouped else right.limit(most + 1).count()
+    if partners <= most:
+        return rows.join(F.broadcast(prepared), on, how).drop(*drop)
     hot = hot_groups(rows, keys)
-    if hot is None:
-        return rows.join(right, on, how).drop(*drop)
     hot = F.broadcast(prefixed(hot.select(*keys), keys, "_h_"))
     hot_on = null_safe_on(keys, "_h_")
     right_is_hot = reduce(
         lambda a, b: a & b, [F.col("_r_" + k).eqNullSafe(F.col("_h_" + k)) for k in keys]
     )
-    hot_right = F.broadcast(right.join(hot, right_is_hot, "left_semi"))
+    hot_right = F.broadcast(prepared.join(hot, right_is_hot, "left_semi"))
     hot_rows = rows.join(hot, hot_on, "left_semi").join(hot_right, on, how)
-    cold_rows = rows.join(hot, hot_on, "left_anti").join(right, on, how)
+    cold_rows = rows.join(hot, hot_on, "left_anti").join(prepared, on, how)
     return cold_rows.drop(*drop).unionByName(hot_rows.drop(*drop))
 
 
@@ -102,4 +130,4 @@ def with_group_stats(df: DataFrame, keys: list[str], **stats: Column) -> DataFra
     """
     table = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
     kept = df.drop(*[n for n in stats if n in df.columns])
-    return join_per_key(kept, table, keys, "left")
+    return join_per_key(kept, table, keys, "left", right_is_grouped=True)

@@ -7,22 +7,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.rsem import half_even, pass_label, percent
-from ..operators.cohort import P, completers, in_cohort, keep_phases
+from ..operators.cohort import P, keep_phases
 from ..operators.metrics import grand_stats, proportion_passing
 from ..operators.reshape import pivot_metrics, total_trials
-from ..operators.skew import join_per_key
+from ..operators.skew import join_per_key, materialize
 
 
 def base_metrics(
     trials: DataFrame, passthrough: list[str] = ["condition"], threshold: float = 0.80,
-    round_duration: bool = False, key: str = P,
+    round_duration: bool = False, target: str | None = None, key: str = P,
 ) -> DataFrame:
     """One row per block with the metrics of the block and of its phase.
 
     Trial rows are aggregated on the map side straight to blocks; phase metrics roll
     the block sums up, so nothing is ever computed over trial rows a second time.
     Participants with several passthrough values get one row for each, all carrying
-    the metrics of the whole block.
+    the metrics of the whole block.  With ``target`` only participants who reached
+    that phase are kept, which their few phase rows tell.
     """
     phase_keys = [key, "phase", "is_test"]
     block_keys = [*phase_keys, "block"]
@@ -56,16 +57,27 @@ def base_metrics(
         pass_label(F.when(complete, F.max("blockAcc")) >= threshold).alias("pass"),
         F.sum("_n").alias("trialCount"),
     )
-    return join_per_key(blocks.drop("_n", "_n_correct", "_correct"), phases, phase_keys, "left")
+    if target is not None:
+        reached = F.max(F.when(F.col("phase") == target, 1).otherwise(0)).over(W.partitionBy(key))
+        phases = phases.withColumn("_reached", reached).where("_reached = 1").drop("_reached")
+    return join_per_key(blocks.drop("_n", "_n_correct", "_correct"), phases, phase_keys, "inner")
 
 
 def base_log(
     trials: DataFrame, phases: list[str], target: str, threshold: float = 0.80,
     round_duration: bool = False, key: str = P,
 ) -> DataFrame:
-    """Base metrics of the participants who reached the target phase."""
+    """Base metrics of the participants who reached the target phase, written once.
+
+    Every later analysis reads these block rows instead of the trial rows.
+    """
     kept = keep_phases(trials, phases)
-    return completers(base_metrics(kept, ["condition"], threshold, round_duration, key), target, key)
+    return materialize(base_metrics(kept, ["condition"], threshold, round_duration, target, key))
+
+
+def _semi(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Cohort filter for frames with a handful of rows per participant."""
+    return rows.join(ids.select(key).distinct(), key, "left_semi")
 
 
 def test_cohort(base: DataFrame, phase: str, cohort: DataFrame | None = None, key: str = P) -> DataFrame:
@@ -73,10 +85,9 @@ def test_cohort(base: DataFrame, phase: str, cohort: DataFrame | None = None, ke
 
     The sd is that of the rounded accuracies, each counted once per block row.
     """
-    rows = keep_phases(base, [phase])
-    rows = in_cohort(rows, cohort, key) if cohort is not None else rows
-    rows = rows.withColumn("accuracy", percent("accuracy"))
+    rows = keep_phases(base, [phase]).withColumn("accuracy", percent("accuracy"))
     rows = rows.groupBy("condition", key, "phase", "accuracy").agg(F.count(F.lit(1)).alias("_rows"))
+    rows = _semi(rows, cohort, key) if cohort is not None else rows
     return grand_stats(rows, "accuracy", weight="_rows").drop("_rows")
 
 
@@ -92,10 +103,10 @@ def training_long(
     base: DataFrame, phases: list[str], cohort: DataFrame, threshold: int = 17, key: str = P
 ) -> DataFrame:
     """Per participant and phase: best criterion, pass label and trials, with the phase's pass rate."""
-    rows = in_cohort(keep_phases(base, phases), cohort, key)
-    rows = rows.groupBy("condition", "phase", key, "trialCount").agg(
+    rows = keep_phases(base, phases).groupBy("condition", "phase", key, "trialCount").agg(
         F.max("criterion").alias("_best"), (F.count(F.lit(1)) == F.count("criterion")).alias("_known")
     )
+    rows = _semi(rows, cohort, key)
     w = W.partitionBy(key, "phase")
     best = F.when(F.min("_known").over(w), F.max("_best").over(w))
     rows = rows.withColumn("criterion", best).withColumn("pass", pass_label(F.col("criterion") >= threshold))

@@ -12,7 +12,7 @@ from ..operators.cohort import P
 from ..operators.metrics import pass_by_phase, suboptimal
 from ..operators.report import bind_participants, study_frame
 from ..operators.reshape import bias_index, pivot_metrics, with_literal
-from ..operators.skew import with_group_stats
+from ..operators.skew import materialize, with_group_stats
 from ..operators.stats import half_width
 
 METRICS = [
@@ -77,7 +77,8 @@ def overview(
     """One row per participant who reached ``target``, with the metrics of training and test.
 
     The number of test trials is the protocol's constant, and the interval half width
-    is that of the experiment.
+    is that of the experiment.  The participant rows are written once, because the
+    interval and most later analyses read them again.
     """
     passthrough = [experiment, "age", "gender"]
     rows = phase_overview(
@@ -91,7 +92,7 @@ def overview(
     ids = [key, *passthrough]
     rows = rows.select(*ids, "phase", *METRICS).distinct()
     wide = pivot_metrics(rows, ids, "phase", METRICS, [training, test])
-    wide = with_literal(wide, f"trialCount_{test}", test_trials)
+    wide = materialize(with_literal(wide, f"trialCount_{test}", test_trials))
     wide = with_group_stats(wide, [experiment], CI90=half_width(f"accuracy_{test}"))
     return bias_index(wide, test)
 
@@ -112,5 +113,5 @@ def test_choices(
 def figure_rows(choices: DataFrame, by: str) -> DataFrame:
     """Accuracy and alternative accuracy with mean and interval of their experiment."""
     return study_frame(
-        choices, by, {"accuracy": ("CI90", "mAcc"), "entDevOptimal": ("altCI90", "altmAcc")}
+        materialize(choices), by, {"accuracy": ("CI90", "mAcc"), "entDevOptimal": ("altCI90", "altmAcc")}
     )
