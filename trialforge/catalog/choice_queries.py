@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..operators import choices, reshape
+from ..operators.skew import materialize
 from ..plans import car_race, choice_task
 from ..sources.event_trials import (
     CRITERION,
@@ -116,7 +117,8 @@ TRAINED = f"""{BASE},
 
 
 def base_log(spark, d):
-    return car_race.base_log(ordered_event_trials(spark, d), PHASES, TEST)
+    """Block rows that several later steps read, so written once."""
+    return materialize(car_race.base_log(ordered_event_trials(spark, d), PHASES, TEST))
 
 
 @query("G1_pivot_metrics", f"{TRAINED} SELECT * FROM tw")

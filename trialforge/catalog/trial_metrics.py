@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics
-from ..operators.skew import materialize
 from ..plans import car_race
 from ..sources.event_trials import CRITERION, PHASES, TEST, TRAINING, event_trials, ordered_event_trials
 from .registry import query, rounded
@@ -153,7 +152,7 @@ def d9(spark, d):
     """,
 )
 def d10(spark, d):
-    base = materialize(car_race.base_metrics(ordered_event_trials(spark, d)))
+    base = car_race.base_metrics(ordered_event_trials(spark, d))
     return car_race.training_long(base, PHASES[1:], base, CRITERION)
 
 

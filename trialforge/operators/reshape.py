@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rsem import numeric_columns, row_sum
@@ -28,14 +28,13 @@ def with_literal(df: DataFrame, name: str, value) -> DataFrame:
     return df.withColumn(name, F.lit(value))
 
 
-def _cell(names: str, level: str, value: str, ids: list[str]) -> Column:
-    """The single value of one cell; two rows in one cell are an error."""
-    here = F.col(names) == level
-    message = F.concat_ws(
-        " ", F.lit(f"more than one row for {names}={level} and"), *[F.first(F.col(i).cast("string")) for i in ids]
-    )
-    value_here = F.max(F.when(here, F.col(value)))
-    return F.when(F.count_if(here) > 1, F.raise_error(message)).otherwise(value_here)
+def _wide(df: DataFrame, ids: list[str], names: str, cells: dict[str, tuple[str, str]], levels: list[str]) -> DataFrame:
+    """One column per ``output: (value, level)``; two rows for one level are an error."""
+    here = {level: F.col(names) == level for level in levels}
+    picked = [F.max(F.when(here[level], F.col(v))).alias(out) for out, (v, level) in cells.items()]
+    most = F.array_max(F.array(*[F.count_if(here[level]) for level in levels])).alias("_most")
+    unique = F.assert_true(F.col("_most") <= 1, F.lit(f"an id has several rows for one {names}"))
+    return df.groupBy(*ids).agg(*picked, most).where(unique.isNull()).drop("_most")
 
 
 def pivot_metrics(
@@ -46,13 +45,13 @@ def pivot_metrics(
     The literal level list fixes the columns and their order and saves the job that
     would look for the levels.  An id with two rows for a level is an error.
     """
-    cells = [_cell(names, lv, v, ids).alias(f"{v}_{lv}") for v in values for lv in levels]
-    return df.groupBy(*ids).agg(*cells)
+    cells = {f"{v}_{level}": (v, level) for v in values for level in levels}
+    return _wide(df, ids, names, cells, levels)
 
 
 def pivot_single(df: DataFrame, ids: list[str], names: str, value: str, levels: list[str]) -> DataFrame:
     """Long to wide for one value, columns named by the level alone."""
-    return df.groupBy(*ids).agg(*[_cell(names, lv, value, ids).alias(lv) for lv in levels])
+    return _wide(df, ids, names, {level: (value, level) for level in levels}, levels)
 
 
 def total_trials(df: DataFrame, columns: list[str], out: str = "totalTrials") -> DataFrame:

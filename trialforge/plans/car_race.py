@@ -19,8 +19,8 @@ def base_metrics(
 ) -> DataFrame:
     """One row per block with the metrics of the block and of its phase.
 
-    Trial rows are aggregated on the map side straight to blocks; phase metrics roll
-    the block sums up, so nothing is ever computed over trial rows a second time.
+    Trial rows are aggregated on the map side straight to block sums, which are written
+    once; phase metrics roll those up, so the trial rows are read a single time.
     Participants with several passthrough values get one row for each, all carrying
     the metrics of the whole block.  With ``target`` only participants who reached
     that phase are kept, which their few phase rows tell.
@@ -36,6 +36,7 @@ def base_metrics(
         F.count("duration").alias("_n_duration"),
         F.sum("duration").alias("_duration"),
     )
+    part = materialize(part)
     # One row per passthrough combination of a block.
     w = W.partitionBy(*block_keys)
     n = F.sum("_n").over(w)
@@ -67,12 +68,9 @@ def base_log(
     trials: DataFrame, phases: list[str], target: str, threshold: float = 0.80,
     round_duration: bool = False, key: str = P,
 ) -> DataFrame:
-    """Base metrics of the participants who reached the target phase, written once.
-
-    Every later analysis reads these block rows instead of the trial rows.
-    """
+    """Base metrics of the participants who reached the target phase."""
     kept = keep_phases(trials, phases)
-    return materialize(base_metrics(kept, ["condition"], threshold, round_duration, target, key))
+    return base_metrics(kept, ["condition"], threshold, round_duration, target, key)
 
 
 def _semi(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
