@@ -29,7 +29,7 @@ def test_every_query_has_sql():
 def test_every_operator_of_the_inventory_is_registered():
     counts = {"A": 4, "B": 11, "C": 9, "D": 13, "E": 2, "F": 5, "G": 9, "H": 3, "I": 4, "J": 2, "K": 7, "L": 8, "M": 4, "N": 5}
     wanted = {f"{g}{i}" for g, n in counts.items() for i in range(1, n + 1)}
-    assert wanted == {name.split("_")[0] for name in queries()}
+    assert wanted <= {name.split("_")[0] for name in queries()}
 
 
 def test_entry(spark):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.rsem import percent
-from ..operators import choices, metrics, report
+from ..operators import choices, cohort, metrics, report
 from ..plans import car_race, choice_task
 from ..sources.event_trials import (
     CRITERION,
@@ -86,6 +86,27 @@ def h3(spark, d):
     return report.participant_summary(training, test, relational, generalisation, reports, ["x_2"])
 
 
+@query(
+    "Entry1_eligible_test_cohort",
+    f"""{TRAINED},
+    seen AS (SELECT x_2, MIN(event_id) AS f FROM trials GROUP BY x_2),
+    nth AS (SELECT x_2 FROM (SELECT x_2, ROW_NUMBER() OVER (ORDER BY f) AS k FROM seen) WHERE k = 3),
+    bad AS (SELECT DISTINCT unique_id FROM trials WHERE x_2 = (SELECT x_2 FROM nth)),
+    ok AS (SELECT unique_id FROM base WHERE phase = 'Crel' AND is_test = 0 AND pass = 'passed'
+           INTERSECT SELECT unique_id FROM base WHERE phase = 'CfuncTest' AND trialCount = 15
+           EXCEPT SELECT unique_id FROM bad),
+    tr AS (SELECT condition, unique_id, phase, round_even(accuracy * 100, 0) AS accuracy
+           FROM base WHERE phase = 'CfuncTest' AND unique_id IN (SELECT unique_id FROM ok))
+    SELECT DISTINCT *, ROUND(AVG(accuracy) OVER (), 6) AS mAcc, ROUND(STDDEV_SAMP(accuracy) OVER (), 6) AS sd_band FROM tr
+    """,
+)
+def entry1(spark, d):
+    base = base_log(spark, d)
+    bad = cohort.ids_with_nth_value(event_trials(spark, d), "x_2", 3, "event_id")
+    ids = car_race.eligible(base, "Crel", TEST, FULL_LENGTH, is_test=0, excluded=bad)
+    return rounded(car_race.test_cohort(base, TEST, ids), "mAcc", "sd_band")
+
+
 _STUDIES = f"""{_ACC},
     st AS (SELECT unique_id, accuracy, 'Exp 1' AS study FROM acc WHERE phase = 'CfuncTest'
            UNION ALL SELECT unique_id, accuracy, 'Exp 2' FROM acc WHERE phase = 'CfuncMixed'
@@ -241,11 +262,11 @@ def m3(spark, d):
 @query(
     "M4_trajectories",
     f"""{_STUDIES}
-    SELECT unique_id, LIST(study || ':' || CAST(CAST(accuracy AS INT) AS VARCHAR) ORDER BY study, accuracy) AS points
+    SELECT unique_id, STRING_AGG(study || ':' || CAST(CAST(accuracy AS INT) AS VARCHAR), ', ' ORDER BY study) AS points
     FROM (SELECT DISTINCT * FROM st) GROUP BY unique_id HAVING COUNT(*) >= 2
     """,
 )
 def m4(spark, d):
     lines = report.trajectories(studies(spark, d), "accuracy")
     text = F.transform("points", lambda p: F.concat(p["study"], F.lit(":"), p["accuracy"].cast("int").cast("string")))
-    return lines.select("unique_id", text.alias("points"))
+    return lines.select("unique_id", F.array_join(text, ", ").alias("points"))

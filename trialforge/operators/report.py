@@ -175,10 +175,11 @@ def trajectories(
 ) -> DataFrame:
     """Points of each participant across studies in study order, where there are several.
 
-    Distinct points first, so a participant has at most one per study and value.
+    A participant has one value per study, which is checked, so a line has at most as
+    many points as there are studies.
     """
-    points = df.select(key, study, column).distinct()
+    points = df.groupBy(key, study).agg(F.min(column).alias("_low"), F.max(column).alias(column))
+    single = F.assert_true(F.col("_low").eqNullSafe(F.col(column)), F.lit("a participant has several values in one study"))
+    points = points.where(single.isNull())
     lines = points.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(study, column))).alias("points"))
     return lines.where(F.size("points") >= min_points)
-
-

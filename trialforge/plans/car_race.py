@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.rsem import half_even, pass_label, percent
+from ..functions.rsem import PASSED, half_even, pass_label, percent
 from ..operators.cohort import P, keep_phases
 from ..operators.metrics import grand_stats, proportion_passing
 from ..operators.reshape import pivot_metrics, total_trials
@@ -97,6 +97,23 @@ def relational_test(base: DataFrame, phase: str, is_test: int = 1, key: str = P)
     return grand_stats(rows, "blockAcc", "meanAcc", "sdAcc", weight="_rows").drop("_rows")
 
 
+def eligible(
+    base: DataFrame, relational_phase: str, test_phase: str, test_trials: int, is_test: int = 1,
+    excluded: DataFrame | None = None, key: str = P,
+) -> DataFrame:
+    """Ids that passed the relational test and completed the whole final test.
+
+    ``excluded`` lists ids to leave out, such as those hit by a program error.
+    """
+    relational = (F.col("phase") == relational_phase) & (F.col("is_test") == is_test) & (F.col("pass") == PASSED)
+    complete = (F.col("phase") == test_phase) & (F.col("trialCount") == test_trials)
+    people = base.groupBy(key).agg(
+        F.max(F.when(relational, 1)).alias("_relational"), F.max(F.when(complete, 1)).alias("_complete")
+    )
+    ids = people.where((F.col("_relational") == 1) & (F.col("_complete") == 1)).select(key)
+    return ids if excluded is None else ids.join(excluded.select(key).distinct(), key, "left_anti")
+
+
 def training_long(
     base: DataFrame, phases: list[str], cohort: DataFrame, threshold: int = 17, key: str = P
 ) -> DataFrame:
