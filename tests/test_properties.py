@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from trialforge.functions import codes
 from trialforge.operators import choices, cohort, metrics, report
-from trialforge.plans import car_race
+from trialforge.plans import training_and_test
 from trialforge.sources.event_trials import CUES, TRAINING, event_trials, ordered_event_trials, with_cues
 
 FOLDER = "/root/testdata/sf0.001"
@@ -72,10 +72,10 @@ def test_eligible_needs_every_criterion(spark):
         (5, "Crel", 1, "passed", 30), (5, "Test", 1, "passed", 60),
     ]
     base = spark.createDataFrame(rows, "unique_id int, phase string, is_test int, `pass` string, trialCount int")
-    ids = car_race.eligible(base, "Crel", "Test", 60)
+    ids = training_and_test.eligible(base, "Crel", "Test", 60)
     assert sorted(r.unique_id for r in ids.collect()) == [1, 5]
     excluded = spark.createDataFrame([(5,)], "unique_id int")
-    assert [r.unique_id for r in car_race.eligible(base, "Crel", "Test", 60, excluded=excluded).collect()] == [1]
+    assert [r.unique_id for r in training_and_test.eligible(base, "Crel", "Test", 60, excluded=excluded).collect()] == [1]
 
 
 def test_nth_text_counts_a_missing_text(spark):

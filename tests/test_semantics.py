@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from trialforge.functions import rsem
 from trialforge.operators import choices, metrics, report, reshape, stats
-from trialforge.plans import car_race
+from trialforge.plans import training_and_test
 from trialforge.sources import logs
 
 from .conftest import values
@@ -57,7 +57,7 @@ def test_later_expressions_see_overwritten_columns(spark):
         "condition string, unique_id long, phase string, is_test int, block int, criterion int, duration double, "
         "accuracy double, pass string, trialCount int",
     )
-    out = car_race.test_cohort(df, "T")
+    out = training_and_test.test_cohort(df, "T")
     assert {round(r.sd_band, 7) for r in out.collect()} == {0.7071068}
 
 

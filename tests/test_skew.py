@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from trialforge.operators import cohort, metrics, skew
 from trialforge.operators.ordered import number_and_roll
-from trialforge.plans import car_race
+from trialforge.plans import training_and_test
 from trialforge.sources.logs import with_row_index
 
 from .conftest import values
@@ -106,7 +106,7 @@ def trial_log(spark):
 def check_base(spark):
     """Fused block metrics against the row-preserving steps: window, window, distinct, filter."""
     log = trial_log(spark)
-    got = car_race.base_log(log, ["Crel", "CfuncTest"], "CfuncTest")
+    got = training_and_test.base_log(log, ["Crel", "CfuncTest"], "CfuncTest")
     steps = metrics.phase_metrics(metrics.block_metrics(log))
     columns = ["condition", "unique_id", "phase", "is_test", "block", "criterion", "blockAcc", "trialCount", "accuracy", "pass"]
     steps = metrics.collapse(cohort.completers(steps, "CfuncTest"), columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import codes
 from ..operators import choices, reshape
 from ..operators.skew import materialize
-from ..plans import car_race, choice_task
+from ..plans import training_and_test, choice_task
 from ..sources.event_trials import (
     CRITERION,
     CUES,
@@ -118,13 +118,13 @@ TRAINED = f"""{BASE},
 
 def base_log(spark, d):
     """Block rows that several later steps read, so written once."""
-    return materialize(car_race.base_log(ordered_event_trials(spark, d), PHASES, TEST))
+    return materialize(training_and_test.base_log(ordered_event_trials(spark, d), PHASES, TEST))
 
 
 @query("G1_pivot_metrics", f"{TRAINED} SELECT * FROM tw")
 def g1(spark, d):
     base = base_log(spark, d)
-    long = car_race.training_long(base, PHASES[1:], base.select("unique_id"), CRITERION)
+    long = training_and_test.training_long(base, PHASES[1:], base.select("unique_id"), CRITERION)
     return reshape.pivot_metrics(long, ["unique_id"], "phase", ["pass", "criterion", "trialCount"], PHASES[1:])
 
 
@@ -202,7 +202,7 @@ def g5(spark, d):
 )
 def g6(spark, d):
     base = base_log(spark, d)
-    return car_race.training_wide(base, PHASES[1:], base.select("unique_id"), PHASES[1:4], CRITERION)
+    return training_and_test.training_wide(base, PHASES[1:], base.select("unique_id"), PHASES[1:4], CRITERION)
 
 
 _PAIRS = """

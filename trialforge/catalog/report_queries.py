@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rsem import percent
 from ..operators import choices, cohort, metrics, report
-from ..plans import car_race, choice_task
+from ..plans import training_and_test, choice_task
 from ..sources.event_trials import (
     CRITERION,
     CUES,
@@ -77,10 +77,10 @@ def h2(spark, d):
 def h3(spark, d):
     trials = event_trials(spark, d)
     base = base_log(spark, d)
-    test = car_race.test_cohort(base, TEST)
-    wide = car_race.training_wide(base, PHASES[1:], test, PHASES[1:4], CRITERION)
+    test = training_and_test.test_cohort(base, TEST)
+    wide = training_and_test.training_wide(base, PHASES[1:], test, PHASES[1:4], CRITERION)
     training = wide.withColumnRenamed(f"criterion_{TRAINING}", "criterion")
-    relational = car_race.relational_test(base.where("block = 1"), "Crel", is_test=0)
+    relational = training_and_test.relational_test(base.where("block = 1"), "Crel", is_test=0)
     generalisation = metrics.phase_accuracy(trials, "Generalisation", as_percent=True)
     reports = metrics.verbal_reports(trials, ["x_2"])
     return report.participant_summary(training, test, relational, generalisation, reports, ["x_2"])
@@ -103,8 +103,8 @@ def h3(spark, d):
 def entry1(spark, d):
     base = base_log(spark, d)
     bad = cohort.ids_with_nth_value(event_trials(spark, d), "x_2", 3, "event_id")
-    ids = car_race.eligible(base, "Crel", TEST, FULL_LENGTH, is_test=0, excluded=bad)
-    return rounded(car_race.test_cohort(base, TEST, ids), "mAcc", "sd_band")
+    ids = training_and_test.eligible(base, "Crel", TEST, FULL_LENGTH, is_test=0, excluded=bad)
+    return rounded(training_and_test.test_cohort(base, TEST, ids), "mAcc", "sd_band")
 
 
 _STUDIES = f"""{_ACC},

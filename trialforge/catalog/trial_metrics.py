@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics
-from ..plans import car_race
+from ..plans import training_and_test
 from ..sources.event_trials import CRITERION, PHASES, TEST, TRAINING, event_trials, ordered_event_trials
 from .registry import query, rounded
 
@@ -152,8 +152,8 @@ def d9(spark, d):
     """,
 )
 def d10(spark, d):
-    base = car_race.base_metrics(ordered_event_trials(spark, d))
-    return car_race.training_long(base, PHASES[1:], base, CRITERION)
+    base = training_and_test.base_metrics(ordered_event_trials(spark, d))
+    return training_and_test.training_long(base, PHASES[1:], base, CRITERION)
 
 
 @query(
@@ -219,7 +219,7 @@ BASE = """
     """,
 )
 def e1(spark, d):
-    base = car_race.base_log(ordered_event_trials(spark, d), PHASES, TEST)
+    base = training_and_test.base_log(ordered_event_trials(spark, d), PHASES, TEST)
     columns = [
         "condition", "unique_id", "phase", "is_test", "block", "criterion", "blockAcc", "duration",
         "trialCount", "accuracy", "pass",

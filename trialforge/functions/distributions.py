@@ -95,10 +95,17 @@ def log_bayes_factor(t: Column, n: Column, df: Column, r: float) -> Column:
             - math.log(2 * math.pi) / 2
         )
 
+    def add(state: Column, x: Column) -> Column:
+        """Running log-sum-exp: the largest term so far and the sum relative to it."""
+        top = F.greatest(state["top"], x)
+        return F.struct(
+            top.alias("top"), (state["sum"] * F.exp(state["top"] - top) + F.exp(x - top)).alias("sum")
+        )
+
     terms = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), log_term)
-    top = F.array_max(terms)
-    total = F.aggregate(terms, F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    return top + F.log(total * h) + (df + 1) / 2 * F.log1p(t2 / df)
+    start_state = F.struct(F.lit(-1e308).alias("top"), F.lit(0.0).alias("sum"))
+    log_sum = F.aggregate(terms, start_state, add, lambda s: s["top"] + F.log(s["sum"]))
+    return log_sum + math.log(h) + (df + 1) / 2 * F.log1p(t2 / df)
 
 
 def signed_rank_counts(n: Column) -> Column:

@@ -61,7 +61,7 @@ CUES = {
 def event_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trial rows without the columns that depend on trial order: a pure projection."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    return events.select("event_id", "ts", *[F.expr(e).alias(n) for n, e in _COLUMNS.items()])
+    return events.selectExpr("event_id", "ts", *[f"{e} AS {n}" for n, e in _COLUMNS.items()])
 
 
 def ordered_event_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
