@@ -36,7 +36,8 @@ def _slot(df: DataFrame, order: list[str]) -> Column:
     for i, name in reversed(list(enumerate(order))):
         lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
         cut = F.floor((_position(df, name) - lo) / F.nullif(hi - lo, F.lit(0.0)) * n_slots)
-        slot = F.when(lo < hi, F.least(cut, n_slots - 1)).otherwise(slot)
+        # Missing values sort first, so they belong to the first slot.
+        slot = F.when(lo < hi, F.when(cut.isNull(), 0).otherwise(F.least(cut, n_slots - 1))).otherwise(slot)
     return F.coalesce(F.when(F.col("_n").isNotNull(), slot), F.lit(0)).cast("long")
 
 
