@@ -12,6 +12,8 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 _ODD_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+# For looser matching, everything in ASCII but letters and digits separates words.
+_IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -56,15 +58,16 @@ class Words:
     """The words of the rows ``first`` to ``last`` of a text column.
 
     ``hashes`` has a 64-bit number for each word, ``at`` the first word of each row and the
-    end; ``start`` and ``stop`` are byte positions in ``data``.
+    end; ``start`` and ``stop`` are byte positions in ``data``.  With ``marks``, ASCII marks
+    separate words like spaces do.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int, last: int, lower: bool):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, first: int, last: int, lower: bool, marks: bool = False):
         low = int(offsets[first])
         self.data = data[low : int(offsets[last])]
         bounds = offsets[first : last + 1] - low
         text = _LOWER[self.data] if lower else self.data
-        word = ~_IS_SPACE[text]
+        word = ~(_IS_MARK if marks else _IS_SPACE)[text]
         breaks = np.zeros(len(text) + 1, bool)
         breaks[bounds] = True
         before = np.empty(len(text), bool)
@@ -88,11 +91,11 @@ class Words:
         return len(self.hashes)
 
 
-def text_words(column: pa.Array, lower: bool, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+def text_words(column: pa.Array, lower: bool, most: int = CHUNK_BYTES, marks: bool = False) -> Iterator[tuple[int, int, Words]]:
     """The column's words in chunks of whole rows: first row, last row (excluded), words."""
     data, offsets = text_bytes(column)
     for first, last in chunks(offsets, most):
-        yield first, last, Words(data, offsets, first, last, lower)
+        yield first, last, Words(data, offsets, first, last, lower, marks)
 
 
 def windows(hashes: np.ndarray, k: int) -> np.ndarray:
