@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, mixing, near_dedup
-from .common import table
+from . import decontamination, exact_dedup, mixing, near_dedup, toxicity
+from .common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,6 +40,20 @@ def near(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def held_out(modulus: int, rest: int):
+    """Whether a row is kept from the fit, by the remainder of its id's crc32."""
+    return lambda doc_id: id_remainder(doc_id, modulus) == rest
+
+
+@query("op3_toxicity")
+def toxic(spark: SparkSession, folder: str) -> DataFrame:
+    held = held_out(4, 2)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.ToxicityModel(docs, table(spark, folder, "labels"), "toxic", lambda doc_id: ~held(doc_id))
+    scored = model.score(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["doc_id"])
+    return scored.select("doc_id", held(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query("op4_decontamination")
 def leaks(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")

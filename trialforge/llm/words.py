@@ -84,8 +84,25 @@ class Words:
         letters = text[word]
         place = np.arange(len(letters)) - np.repeat(firsts, lengths)
         terms = _BYTE[letters] * powers(ODD, int(lengths.max(initial=0)))[place]
-        sums = np.add.reduceat(terms, firsts) if len(firsts) else np.empty(0, np.uint64)
-        self.hashes = mixed(sums + lengths.astype(np.uint64))
+        self._firsts, self._lengths = firsts, lengths
+        self._sums = np.zeros(len(terms) + 1, np.uint64)
+        np.cumsum(terms, out=self._sums[1:])
+        self.hashes = self._upto(lengths)
+        self.bounds = bounds
+
+    def _upto(self, lengths: np.ndarray) -> np.ndarray:
+        return mixed(self._sums[self._firsts + lengths] - self._sums[self._firsts] + lengths.astype(np.uint64))
+
+    def prefixes(self, k: int) -> np.ndarray:
+        """A number for the first ``k`` bytes of each word, 0 for words that aren't longer."""
+        long = self._lengths > k
+        out = self._upto(np.minimum(self._lengths, k))
+        return np.where(long, out ^ np.uint64(k), np.uint64(0))
+
+    def count(self, mask: np.ndarray) -> np.ndarray:
+        """For each row, the bytes of ``data`` where ``mask`` holds."""
+        sums = np.concatenate([[0], np.cumsum(mask)])
+        return np.diff(sums[self.bounds])
 
     def __len__(self) -> int:
         return len(self.hashes)
