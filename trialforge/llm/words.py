@@ -115,10 +115,14 @@ def text_words(column: pa.Array, lower: bool, most: int = CHUNK_BYTES, marks: bo
         yield first, last, Words(data, offsets, first, last, lower, marks)
 
 
-def windows(hashes: np.ndarray, k: int) -> np.ndarray:
-    """A 64-bit number for each run of ``k`` words, by the words' numbers and their order."""
-    if len(hashes) < k:
-        return np.empty(0, np.uint64)
+def spans(hashes: np.ndarray, start: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+    """A 64-bit number for each run of ``length`` words from ``start``, by words and order."""
     sums = np.zeros(len(hashes) + 1, np.uint64)
     np.cumsum(hashes * powers(ODD, len(hashes)), out=sums[1:])
-    return mixed((sums[k:] - sums[:-k]) * powers(_ODD_INVERSE, len(hashes) - k + 1) + np.uint64(k))
+    shift = powers(_ODD_INVERSE, len(hashes) + 1)[start]
+    return mixed((sums[start + length] - sums[start]) * shift + np.asarray(length).astype(np.uint64))
+
+
+def windows(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A number for each run of ``k`` words, as of ``spans``."""
+    return spans(hashes, np.arange(max(0, len(hashes) - k + 1)), k)
