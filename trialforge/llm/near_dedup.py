@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import likely_in
 from .common import checkpointed, packed, unpacked
 from .graph import components
 from .words import Words, text_words, windows
@@ -177,42 +178,39 @@ def component_of(texts: DataFrame, percent: int = PERCENT, miss: float = MISS, b
     families = checkpointed(components(ties))
 
     sizes = families.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block))
-    members = (
-        families.join(sizes, "component")
-        .join(classes, F.col("node") == F.col("rep"))
-        .select(F.col("component").alias("family"), "rep", "signature", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).alias("block"))
+    members = families.join(sizes, "component").select(
+        F.col("component").alias("family"), F.col("node").alias("rep"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
     )
-    members = checkpointed(members)
-    full = members.join(texts.where("id IS NOT NULL"), F.col("rep") == F.col("id")).drop("id")
-    large = members.where("blocks > 1")
-    hubs = large.groupBy("family").agg(F.min("rep").alias("h1"), F.max("rep").alias("h2"), F.min_by("rep", F.xxhash64("rep", F.lit(1))).alias("h3"), F.min_by("rep", F.xxhash64("rep", F.lit(2))).alias("h4"))
-    hub_rows = hubs.select("family", F.explode(F.array_distinct(F.array("h1", "h2", "h3", "h4"))).alias("hub"))
-    in_all = (
-        full.join(hub_rows.withColumnRenamed("family", "of"), (F.col("family") == F.col("of")) & (F.col("rep") == F.col("hub")))
-        .withColumn("every", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .where("every <> block")
-        .select("family", "rep", "signature", "blocks", F.col("every").alias("block"), "text")
+    draw = lambda seed: F.xxhash64("rep", F.lit(seed))
+    drawn = [F.min_by("rep", draw(k)) for k in range(1, HUBS + 1)]
+    hubs = members.where("blocks > 1").groupBy("family").agg(F.array(*drawn).alias("hubs")).select("family", F.explode(F.array_distinct("hubs")).alias("rep"), F.lit(True).alias("hub"))
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    members = checkpointed(
+        members.join(hubs, ["family", "rep"], "left").withColumn("targets", F.when(F.col("hub"), everywhere).otherwise(F.array("block"))).drop("hub")
     )
-    dealt = full.unionByName(in_all)
+    wanted = members.select(F.xxhash64("rep").alias("key"))
+    texts_of = likely_in(texts.select("id", "text", F.xxhash64("id").alias("key")), "key", wanted, "key")
+    full = checkpointed(members.select("rep").join(classes, "rep").join(texts_of, F.col("rep") == F.col("id")).select("rep", "signature", "text"))
     ends = f"a {kind}, b {kind}"
-    first = checkpointed(
-        dealt.select("family", "block", "rep", "signature", "text").groupBy("family", "block").applyInArrow(_block(percent, miss, False), ends)
-    )
+    dealt = full.join(members.select("rep", "family", "targets"), "rep").withColumn("block", F.explode("targets"))
+    first = checkpointed(dealt.select("family", "block", "rep", "signature", "text").groupBy("family", "block").applyInArrow(_block(percent, miss, False), ends))
     grouped = components(first)
 
-    # Families of several blocks: what is outside the largest component meets all other blocks.
-    spread = large.select("family", "rep", "block", "blocks").join(grouped, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node")
-    spread = checkpointed(spread)
-    if not spread.isEmpty():
-        parts = spread.groupBy("family", "component").agg(F.count("*").alias("size"))
-        main = parts.groupBy("family").agg(F.max_by("component", F.struct("size", "component")).alias("main"))
-        marked = spread.join(main, "family").withColumn("probe", F.col("component") != F.col("main"))
-        probes = marked.where("probe").withColumn("part", F.floor(F.pmod(F.xxhash64("rep", F.lit(3)), F.col("blocks"))))
-        pairs = probes.select("family", "part").distinct()
-        left = probes.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("family", "part", "block", "rep", "component", "probe")
-        right = marked.join(pairs, "family").select("family", "part", "block", "rep", "component", F.lit(False).alias("probe"))
-        both = left.union(right).groupBy("family", "part", "block", "rep", "component").agg(F.max("probe").alias("probe"))
-        wide = both.join(full.select(F.col("rep").alias("of"), "signature", "text"), F.col("rep") == F.col("of")).drop("of")
+    # Families of several blocks: what is outside the largest component meets all blocks.
+    large = members.where("blocks > 1").select("family", "rep", "block", "blocks")
+    spread = checkpointed(large.join(grouped, F.col("rep") == F.col("node"), "left").withColumn("component", F.coalesce("component", "rep")).drop("node"))
+    parts = spread.groupBy("family", "component").agg(F.count("*").alias("size"))
+    main = parts.groupBy("family").agg(F.max_by("component", F.struct("size", "component")).alias("main"), (F.sum("size") - F.max("size")).alias("outside"))
+    main = main.where("outside > 0").withColumn("parts", F.ceil(F.col("outside") / block))
+    marked = checkpointed(spread.join(main, "family").withColumn("probe", F.col("component") != F.col("main")))
+    if not marked.isEmpty():
+        part = F.pmod(draw(0), F.col("parts"))
+        # A group is one part of the probes and one block; a probe of the block itself is there once.
+        all_parts, all_blocks = F.sequence(F.lit(0).cast("long"), F.col("parts") - 1), F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+        in_block = F.transform(all_parts, lambda p: F.struct(p.alias("part"), F.col("block").alias("block"), (F.col("probe") & (p == part)).alias("probe")))
+        as_probe = F.transform(F.filter(all_blocks, lambda b: b != F.col("block")), lambda b: F.struct(part.alias("part"), b.alias("block"), F.lit(True).alias("probe")))
+        placed = marked.select("family", "rep", "component", F.when(F.col("probe"), F.concat(in_block, as_probe)).otherwise(in_block).alias("places"))
+        wide = full.join(placed, "rep").withColumn("place", F.explode("places")).select("family", "place.part", "place.block", "place.probe", "rep", "component", "signature", "text")
         second = wide.groupBy("family", "part", "block").applyInArrow(_block(percent, miss, True), ends)
         grouped = components(first.union(second))
 

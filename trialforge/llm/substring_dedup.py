@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import Bitmap
 from .common import checkpointed, packed, unpacked
 from .words import Words, spans, text_words, windows
 
 WINDOW = 35
 KMER = 16
-BITS = (16, 27)  # least and most bits of a bitmap, as powers of two
 
 
 class Paths:
@@ -54,25 +54,6 @@ class Paths:
         self.node = nodes[place[first]]
 
 
-class Bitmap:
-    """A set of 64-bit numbers in bounded memory; may hold more, never less."""
-
-    def __init__(self, numbers: DataFrame, column: str):
-        count = numbers.count()
-        self.bits = min(max(BITS[0], (8 * count).bit_length()), BITS[1])
-        slot = F.col(column).bitwiseAND(F.lit((1 << self.bits) - 1))
-        found = (
-            numbers.select(F.shiftright(slot, 6).alias("cell"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit"))
-            .groupBy("cell").agg(F.bit_or("bit").alias("bits")).toArrow()
-        )
-        self.cells = np.zeros(1 << (self.bits - 6), np.uint64)
-        self.cells[found.column("cell").to_numpy()] = found.column("bits").to_numpy().astype(np.int64).view(np.uint64)
-
-    def has(self, numbers: np.ndarray) -> np.ndarray:
-        slot = numbers & np.uint64((1 << self.bits) - 1)
-        return (self.cells[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-
-
 def _signed(numbers: np.ndarray) -> pa.Array:
     return pa.array(numbers.view(np.int64))
 
