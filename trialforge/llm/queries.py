@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_model, mixing, near_dedup, substring_dedup, toxicity
+from . import decontamination, exact_dedup, language_model, mixing, near_dedup, quality, substring_dedup, toxicity
 from .common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,6 +81,15 @@ def exact(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query("op7_quality")
+def good(spark: SparkSession, folder: str) -> DataFrame:
+    held = held_out(5, 0)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality.QualityModel(docs, table(spark, folder, "labels"), "quality", lambda doc_id: ~held(doc_id))
+    scored = model.score(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), ["doc_id"])
+    return scored.select("doc_id", held(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 @query("op9_lm_scoring")
 def lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     held = held_out(7, 2)

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, packed, unpacked
+from .labelled import fit_sample
 from .words import Words, text_words
 
 FIT_ROWS = 20_000
@@ -167,13 +168,12 @@ def learn_lexicons(sample: DataFrame) -> list[Lexicon]:
     """
     kind = "entry long, half long, label long, texts long"
     toxic = sample.where("label = 1").mapInArrow(_entry_counts(None), kind).groupBy("entry").agg(F.sum("texts").alias("texts"))
-    wanted = np.array([r[0] for r in toxic.where(F.col("texts") >= LEAST_DOCS).select("entry").collect()], np.int64).astype(np.uint64)
-    counts = sample.mapInArrow(_entry_counts(np.sort(wanted)), kind).groupBy("entry", "half", "label").agg(F.sum("texts").alias("texts")).collect()
+    wanted = toxic.where(F.col("texts") >= LEAST_DOCS).select("entry").toPandas()["entry"].to_numpy(np.int64).astype(np.uint64)
+    counts = sample.mapInArrow(_entry_counts(np.sort(wanted)), kind).groupBy("entry", "half", "label").agg(F.sum("texts").alias("texts")).toPandas()
     totals = {(r["half"], r["label"]): r["count"] for r in sample.groupBy("half", "label").count().collect()}
     entry = np.sort(wanted)
     have = np.zeros((2, 2, len(entry)))
-    for r in counts:
-        have[r["half"], r["label"], np.searchsorted(entry, np.int64(r["entry"]).astype(np.uint64))] = r["texts"]
+    have[counts["half"], counts["label"], np.searchsorted(entry, counts["entry"].to_numpy(np.int64).astype(np.uint64))] = counts["texts"]
     all_ = np.array([[totals.get((h, t), 0) for t in (0, 1)] for h in (0, 1)], float)
 
     def lexicon(halves: list[int]) -> Lexicon:
@@ -185,19 +185,6 @@ def learn_lexicons(sample: DataFrame) -> list[Lexicon]:
     return [lexicon([1]), lexicon([0]), lexicon([0, 1])]
 
 
-def fit_sample(docs: DataFrame, labels: DataFrame, label: str, train: Callable[[Column], Column], id_col: str, text_col: str, fit_rows: int) -> DataFrame:
-    """At most ``fit_rows`` labelled rows (id, text, label) for a fit, chosen by a hash of the id."""
-    chosen = (
-        labels.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("label"))
-        .where(F.col("id").isNotNull() & F.col("label").isin(0, 1) & train(F.col("id")))
-        .groupBy("id").agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("id"), "id").limit(fit_rows)
-    )
-    texts = docs.select(F.col(id_col).alias("of"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # Broadcast: fit_rows bounds it.  Rows that repeat an id count once.
-    return checkpointed(texts.join(F.broadcast(chosen), F.col("of") == F.col("id")).dropDuplicates(["id"]).select("id", "text", "label"))
-
-
 class ToxicityModel:
     """Trees, calibration and lexicon; ``score`` applies them to every row of a table."""
 
