@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_model, mixing, near_dedup, quality, substring_dedup, toxicity
+from . import decontamination, exact_dedup, language_model, mixing, near_dedup, quality, substring_dedup, toxicity, url_filter
 from .common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,6 +90,12 @@ def good(spark: SparkSession, folder: str) -> DataFrame:
     return scored.select("doc_id", held(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+@query("op8_url_filter")
+def urls(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return url_filter.judge_urls(pages, table(spark, folder, "labels")).select("page_id", "host", "path", "rule", "verdict", "confidence")
+
+
 @query("op9_lm_scoring")
 def lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     held = held_out(7, 2)
