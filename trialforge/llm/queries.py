@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_model, mixing, near_dedup, quality, substring_dedup, toxicity, url_filter
+from . import decontamination, exact_dedup, language_model, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity, url_filter
 from .common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,12 @@ def leaks(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "item_id", "score", "n_items", "contaminated")
 
 
+@query("op5_line_dedup")
+def lines(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_dedup.drop_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query(
     "op6_exact_dedup",
     r"""
