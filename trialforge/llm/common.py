@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,22 +21,35 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def checkpointed(frame: DataFrame) -> DataFrame:
-    """``frame`` written to the session's checkpoint folder, with its lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    The folder is ``spark.checkpoint.dir``.  Only a local session without that setting,
-    as in tests, gets a temporary folder; a cluster without it is an error.
+    Only a local session without that setting, as in tests, gets a temporary folder; a cluster
+    without it is an error.
     """
-    spark = frame.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """``frame`` written to the shared folder, with its lineage cut; Spark removes the files
+    with the frame where it is set to clean checkpoints."""
+    shared_folder(frame.sparkSession)
     return frame.checkpoint()
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """``frame`` as a Parquet table in the shared folder, read again."""
+    path = f"{shared_folder(frame.sparkSession)}/{uuid.uuid4()}.parquet"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.parquet(path)
+
+
 def squeezed(text: Column) -> Column:
     """Text without any separator; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), SPACES, "")
