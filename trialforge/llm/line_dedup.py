@@ -145,6 +145,7 @@ def earlier_lines(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame
     emitted = likely.select("first", "line").mapInArrow(_variants, f"first {shape}, key long, role int")
     own, cut, placed = (F.min(F.when(F.col("role") == r, F.col("first"))).alias(n) for r, n in enumerate(("own", "cut", "placed")))
     met = emitted.groupBy("key").agg(own, cut, placed, F.count("*").alias("times")).where("times > 1")
+    met = checkpointed(met)  # so that the join's side with hot keys is an exchange Spark can split
     # A whole line meets lines with one word more; those meet it, not each other; places meet places.
     by = F.when(F.col("role") == 0, F.col("cut")).when(F.col("role") == 1, F.col("own")).otherwise(F.col("placed"))
     found = emitted.join(met, "key").select("first", by.alias("by")).where("by < first")

@@ -149,7 +149,8 @@ def repeated_places(texts: DataFrame, window: int = WINDOW, kmer: int = KMER) ->
     may_branch = context.broadcast(Bitmap(branching, "node"))
     apart = texts.mapInArrow(_windows(window, kmer, may_branch), f"id {kind}, h int, at int, node long, window long").join(branching, "node", "left_semi")
     apart = checkpointed(apart.select("id", "h", "at", "window"))
-    met = apart.groupBy("window").agg(F.count("*").alias("times")).where("times > 1").select("window")
+    # Written first, so that the join's side with hot windows is an exchange Spark can split.
+    met = checkpointed(apart.groupBy("window").agg(F.count("*").alias("times")).where("times > 1").select("window"))
     single = apart.join(met, "window", "left_semi").select("id", "h", "at", F.lit(1).alias("n"))
     return whole.union(single).groupBy("id", "h").agg(F.collect_list(F.struct("at", "n")).alias("places"))
 
