@@ -142,3 +142,50 @@ def test_dot_bins_against_a_plain_walk(spark):
     df = spark.createDataFrame([(g, float(x)) for g, xs in data.items() for x in xs], "g string, x double")
     got = [(r.g, r.bin_centre, r.dots) for r in report.dot_bins(df, "x", ["g"]).collect()]
     assert sorted(got) == sorted(expected)
+
+
+# Upper quantiles of Student's t by degrees of freedom and tail.  df 1 is cot(pi * tail); the others
+# were made by bisection on a tail integrated with 60 digits, df 1e6 by the normal series in 1 / df.
+@pytest.mark.parametrize("tail", [1e-2, 1e-4, 1e-6, 1e-8, 1e-10])
+def test_quantile_converges(spark, tail):
+    from statistics import NormalDist
+
+    z = -NormalDist().inv_cdf(tail)
+
+    def series(df):
+        return z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df**2)
+
+    row = spark.range(1).select(*[t_quantile(tail, F.lit(float(df))).alias(f"q{df}") for df in (1, 2, 30, 1_000_000)]).first()
+    assert row["q1"] == pytest.approx(1 / math.tan(math.pi * tail), rel=1e-6)
+    a = 4 * tail * (1 - tail)
+    assert row["q2"] == pytest.approx(2 * (0.5 - tail) * math.sqrt(2 / a), rel=1e-6)
+    assert row["q1000000"] == pytest.approx(series(1e6), rel=1e-6)
+    back = spark.range(1).select(t_upper_tail(F.lit(row["q30"]), F.lit(30.0)).alias("p")).first()
+    assert back["p"] == pytest.approx(tail, rel=1e-6)
+
+
+def test_small_tails_of_less_mirror_greater(spark):
+    df = spark.range(400).select((F.col("id") % 2 - 3.0).alias("x"))
+    less, greater = stats.t_test_one(df, "x", 0, "less").first(), stats.t_test_one(df.select((-F.col("x")).alias("x")), "x", 0, "greater").first()
+    assert 0 < less.p_value == pytest.approx(greater.p_value, rel=1e-9)
+    scores = spark.createDataFrame([(float(x % 40),) for x in range(400)], "x double")
+    low = stats.signed_rank(scores, "x", 60, "less").first()
+    high = stats.signed_rank(scores.select((100 - F.col("x")).alias("x")), "x", 40, "greater").first()
+    assert 0 < low.p_value == pytest.approx(high.p_value, rel=1e-6)
+
+
+def test_signed_rank_of_billions(spark):
+    n = 5_000_000_000
+    hist = spark.createDataFrame([(1, 40, n), (1, 55, n), (1, 70, n)], "g int, slot int, n long")
+    r = stats.signed_rank_of_counts(hist, 50, "greater", 0.95, ["g"], 1.0, 0.0, 100.0).first()
+    # Sizes 5, 10 and 20: mid-ranks n / 2, 3n / 2 and 5n / 2 (and a half each).
+    assert r.n == 3 * n and r.v == pytest.approx(n * (n / 2 + 5 * n / 2 + 1), rel=1e-9) and r.p_value < 1e-300
+    two = spark.range(1).select(F.lit(4_000_000_000).alias("n1"), F.lit(4_000_000_000).alias("n2"))
+    assert (two.first().n1 * two.first().n2) > 2**63
+
+
+def test_exact_is_a_choice(spark):
+    df = spark.createDataFrame([(float(x),) for x in range(51, 63)], "x double")
+    default, normal = stats.signed_rank(df, "x", 50).first(), stats.signed_rank(df, "x", 50, exact=False).first()
+    assert default.p_value == 2.0**-12 and normal.p_value != default.p_value
+    assert stats.signed_rank(df, "x", 50, exact_below=12).first().p_value == pytest.approx(normal.p_value)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 INTERVALS = 1000  # Simpson, even
 SPAN = 16.0  # standard deviations beyond which a density is taken as zero
-NEWTON_STEPS = 12
+MOST_STEPS = 200  # a search ends when it has converged; halving an interval alone takes 60 steps
 BAYES_GRID = (-12.0, 25.0, 401)  # log g from, to, points
 
 
@@ -52,16 +52,35 @@ def t_upper_tail(t: Column, df: Column) -> Column:
 def t_quantile(upper: float, df: Column) -> Column:
     """The t value with the given upper tail, which must be below one half.
 
-    The tail is convex in the angle to the right of zero, so Newton steps from zero
-    approach the root from the left without overshooting.
+    Newton steps on the logarithm of the tail, kept inside an interval that holds the root; a
+    step that would leave it halves the interval instead.  The search stops when a step moves
+    the angle by less than its precision, so its length follows the distance to the root.
     """
     df = df.cast("double")
-    target = 2 * upper * _t_angle_tail(F.lit(0.0), df)
-
-    def step(theta: Column, _: Column) -> Column:
-        return theta + (_t_angle_tail(theta, df) - target) / _t_kernel(df)(theta)
-
-    angle = F.aggregate(F.sequence(F.lit(1), F.lit(NEWTON_STEPS)), F.lit(0.0), step)
+    target = F.log(F.lit(2.0 * upper)) + F.log(_t_angle_tail(F.lit(0.0), df))
+    state = {"low": F.lit(0.0), "high": F.lit(math.pi / 2), "at": F.lit(0.0), "done": F.lit(False)}
+
+    def named(values: dict[str, Column]) -> Column:
+        return F.struct(*[v.alias(k) for k, v in values.items()])
+
+    def evaluated(s: Column) -> Column:
+        return F.struct(s.alias("s"), _t_angle_tail(s["at"], df).alias("tail"))
+
+    def moved(e: Column) -> Column:
+        s, tail = e["s"], e["tail"]
+        excess = F.log(tail) - target
+        low, high = F.when(excess > 0, s["at"]).otherwise(s["low"]), F.when(excess > 0, s["high"]).otherwise(s["at"])
+        newton = s["at"] + tail / _t_kernel(df)(s["at"]) * excess
+        inside = (newton > low) & (newton < high)
+        new = F.when(inside, newton).otherwise((low + high) / 2)
+        done = (F.abs(new - s["at"]) <= 1e-15 * new) | (excess == 0)
+        return named({"low": low, "high": high, "at": F.when(excess == 0, s["at"]).otherwise(new), "done": done})
+
+    def step(s: Column, _: Column) -> Column:
+        # An array of one, so that the tail is computed once for all the places that use it.
+        return F.when(s["done"], s).otherwise(F.element_at(F.transform(F.array(evaluated(s)), moved), 1))
+
+    angle = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_STEPS)), named(state), step, lambda s: s["at"])
     return F.sqrt(df) * F.tan(angle)
 
 
@@ -110,6 +129,7 @@ def log_bayes_factor(t: Column, n: Column, df: Column, r: float) -> Column:
 
 def signed_rank_counts(n: Column) -> Column:
     """Number of subsets of ranks 1..n with each sum 0..n(n+1)/2, as an array of doubles."""
+    n = n.cast("double")
     size = (n * (n + 1) / 2 + 1).cast("int")
     start = F.transform(F.sequence(F.lit(0), size - 1), lambda s: F.when(s == 0, 1.0).otherwise(0.0))
 

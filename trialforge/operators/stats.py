@@ -106,7 +106,7 @@ def _test_columns(
     if alternative == "greater":
         p, high = upper, infinity
     elif alternative == "less":
-        p, low = 1 - upper, -infinity
+        p, low = t_upper_tail(-F.col("t"), F.col("df")), -infinity  # not 1 - upper, which loses small tails
     elif alternative == "two.sided":
         p = 2 * t_upper_tail(F.abs(F.col("t")), F.col("df"))
     else:
@@ -211,7 +211,7 @@ def bf_two_sample(
 ) -> DataFrame:
     """JZS Bayes factor of two independent samples with pooled variance."""
     m = _two_samples(df, column, group, labels, by)
-    n1, n2 = F.col("n1"), F.col("n2")
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")  # their product outgrows a bigint
     dof = n1 + n2 - 2
     pooled = F.try_divide((n1 - 1) * F.col("sd1") ** 2 + (n2 - 1) * F.col("sd2") ** 2, dof)
     n_eff = F.try_divide(n1 * n2, n1 + n2)
@@ -245,11 +245,14 @@ def grid_histogram(
 def signed_rank(
     df: DataFrame, column: str, mu: float = 0.0, alternative: str = "greater", conf: float = 0.95,
     by: list[str] = [], grid: float = 1.0, low: float = 0.0, high: float = 100.0,
+    exact: bool | None = None, exact_below: int = 50,
 ) -> DataFrame:
     """Wilcoxon signed-rank test of scores on a grid against ``mu``.
 
-    Zero differences are dropped.  Below 50 observations without ties or zeros the
-    null distribution is exact, else normal with continuity and tie correction.
+    Zero differences are dropped.  With ``exact`` None, the null distribution is exact for
+    fewer than ``exact_below`` observations without ties or zeros, else normal with
+    continuity and tie correction; True asks for the exact one wherever there are no ties
+    or zeros, False for the normal one.
     ``estimate`` is the median of the pairwise means (Hodges-Lehmann) and ``ci_low``
     the order statistic of the pairwise means at the one-sided level.  Rows are only
     counted per grid slot; ranks and pairwise means come from those counts.
@@ -258,15 +261,27 @@ def signed_rank(
         raise ValueError(f"unknown alternative: {alternative}")
     if not by:
         whole = df.withColumn("_all", F.lit(1))
-        return signed_rank(whole, column, mu, alternative, conf, ["_all"], grid, low, high).drop("_all")
+        return signed_rank(whole, column, mu, alternative, conf, ["_all"], grid, low, high, exact, exact_below).drop("_all")
+    hist = grid_histogram(df, column, by, grid, low, high)
+    return signed_rank_of_counts(hist, mu, alternative, conf, by, grid, low, high, exact, exact_below)
+
+
+def signed_rank_of_counts(
+    hist: DataFrame, mu: float, alternative: str, conf: float, by: list[str], grid: float, low: float, high: float,
+    exact: bool | None = None, exact_below: int = 50,
+) -> DataFrame:
+    """The test from counts ``n`` per group and grid slot, as of :func:`grid_histogram`.
+
+    Ranks, products and sums of counts are doubles, so they don't overflow.
+    """
     slots = int(round((high - low) / grid)) + 1
     centre = (mu - low) / grid
-    hist = grid_histogram(df, column, by, grid, low, high)
+    hist = hist.withColumn("n", F.col("n").cast("double"))
     d = F.round(F.col("slot") - F.lit(centre), 9)
 
     # Mid-ranks: at most one row per slot and group.
     sizes = hist.where(d != 0).groupBy(*by, F.abs(d).alias("_size")).agg(
-        F.sum("n").alias("_ties"), F.sum(F.when(d > 0, F.col("n")).otherwise(0)).alias("_positive")
+        F.sum("n").alias("_ties"), F.sum(F.when(d > 0, F.col("n")).otherwise(0.0)).alias("_positive")
     )
     upto = W.partitionBy(*by).orderBy("_size").rowsBetween(W.unboundedPreceding, W.currentRow)
     rank = F.col("_cum") - F.col("_ties") + (F.col("_ties") + 1) / 2.0
@@ -277,16 +292,16 @@ def signed_rank(
     )
     counts = hist.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("_count"),
-        F.sum(F.when(d == 0, F.col("n")).otherwise(0)).alias("zeros"),
+        F.sum(F.when(d == 0, F.col("n")).otherwise(0.0)).alias("zeros"),
     )
-    joined = counts.join(ranked, by, "left").fillna(0, subset=["n", "v", "tie_sum"])
+    joined = counts.join(ranked, by, "left").fillna(0.0, subset=["n", "v", "tie_sum"])
 
     n, v = F.col("n"), F.col("v")
     mean = n * (n + 1) / 4.0
     sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("tie_sum") / 48.0)
     shift = 0.5 if alternative == "greater" else -0.5
     joined = joined.withColumns(
-        {"exact": (F.col("tie_sum") == 0) & (F.col("zeros") == 0) & (n < 50), "_mean": mean, "_sd": sd}
+        {"exact": (F.col("tie_sum") == 0) & (F.col("zeros") == 0) & _exact_size(n, exact, exact_below), "_mean": mean, "_sd": sd}
     ).withColumn("z", F.try_divide(v - F.col("_mean") - shift, F.col("_sd")))
     joined = joined.withColumn("_null", F.when(F.col("exact"), signed_rank_counts(n)))
 
@@ -300,14 +315,14 @@ def signed_rank(
     if alternative == "greater":
         exact_p, normal_p = null_share(lambda s: s >= v), normal_upper_tail(F.col("z"))
     else:
-        exact_p, normal_p = null_share(lambda s: s <= v), 1 - normal_upper_tail(F.col("z"))
+        exact_p, normal_p = null_share(lambda s: s <= v), normal_upper_tail(-F.col("z"))
     joined = joined.withColumn("p_value", F.when(F.col("exact"), exact_p).otherwise(normal_p))
 
     # Pairwise means per sum of two slots, from the counts of the non-zero differences.
     at_mu = int(round(centre)) if abs(centre - round(centre)) < 1e-9 else -1
 
     def kept(i: Column) -> Column:
-        return F.when(i != at_mu, F.coalesce(F.try_element_at(F.col("_count"), i), F.lit(0))).otherwise(0)
+        return F.when(i != at_mu, F.coalesce(F.try_element_at(F.col("_count"), i), F.lit(0.0))).otherwise(0.0)
 
     joined = joined.withColumn("_h", F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), kept))
 
@@ -360,7 +375,12 @@ def signed_rank(
             "ci_high": infinity if alternative == "greater" else bound,
         }
     )
-    return joined.select(*by, "n", "zeros", "v", "tie_sum", "z", "p_value", "estimate", "ci_low", "ci_high")
+    counted = [F.col(c).cast("long").alias(c) for c in ("n", "zeros")]
+    return joined.select(*by, *counted, "v", "tie_sum", "z", "p_value", "estimate", "ci_low", "ci_high")
+
+
+def _exact_size(n: Column, exact: bool | None, below: int) -> Column:
+    return F.lit(exact) if exact is not None else n < below
 
 
 def _normal_quantile(upper: float) -> float:
