@@ -21,10 +21,8 @@ def spark():
 def small_limits(spark):
     """Send groups of more than a few rows down the hot-group path."""
     spark.conf.set(skew.HOT_ROWS_CONF, "7")
-    spark.conf.set(skew.BROADCAST_ROWS_CONF, "0")
     yield
     spark.conf.unset(skew.HOT_ROWS_CONF)
-    spark.conf.unset(skew.BROADCAST_ROWS_CONF)
 
 
 @pytest.fixture(scope="session")

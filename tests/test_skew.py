@@ -45,6 +45,26 @@ def test_numbering_without_hot_groups(skewed):
     assert values(got, "id", "n", "roll") == values(windowed(skewed, 4), "id", "n", "roll")
 
 
+@pytest.mark.parametrize("kind", ["date", "string", "timestamp", "decimal(9,2)", "boolean"])
+def test_numbering_takes_any_order_above_the_limit(spark, kind, request):
+    """Dates, text and nulls order a hot group as they order an ordinary one."""
+    as_kind = {"date": F.date_add(F.lit("2020-01-01"), F.col("s").cast("int")), "boolean": F.col("s") % 2 == 0}.get(kind, F.col("s").cast(kind))
+    df = spark.range(300).withColumn("s", F.col("id") % 17).select("id", (F.col("id") % 2).alias("k"), F.when(F.col("id") % 11 > 0, as_kind).alias("o"), F.lit(1).alias("x"))
+    ordinary = values(number_and_roll(df, ["k"], ["o", "id"], "n", ("x", 5, "roll")), "id", "n", "roll")
+    request.getfixturevalue("small_limits")
+    assert values(number_and_roll(df, ["k"], ["o", "id"], "n", ("x", 5, "roll")), "id", "n", "roll") == ordinary
+
+
+def test_a_tied_hot_group_is_dealt_over_all_tasks(spark, small_limits, request):
+    """Nine in ten rows share one time; no partition of the sorted rows holds most of them."""
+    spark.conf.set(skew.HOT_ROWS_CONF, "500")
+    request.getfixturevalue("splitting")  # else the small tasks of this test are joined again
+    df = spark.range(0, 10_000, numPartitions=8).select("id", F.lit("a").alias("k"), F.when(F.col("id") % 10 > 0, 0).otherwise(F.col("id")).alias("o"))
+    got = number_and_roll(df, ["k"], ["o", "id"], "n").withColumn("task", F.spark_partition_id())
+    assert got.count() == 10_000 and got.agg(F.max("n"), F.count_distinct("n")).first()[:] == (10_000, 10_000)
+    assert got.groupBy("task").count().agg(F.max("count")).first()[0] < 4_000
+
+
 def test_numbering_where_all_times_tie(spark, small_limits):
     df = spark.range(100).select("id", F.lit("a").alias("k"), F.lit(0).cast("timestamp").alias("ts"), F.lit(1).alias("x"))
     got = number_and_roll(df, ["k"], ["ts", "id"], "n", ("x", 20, "roll"))
@@ -52,10 +72,38 @@ def test_numbering_where_all_times_tie(spark, small_limits):
     assert {r.roll for r in got.where("n >= 20").collect()} == {20}
 
 
-@pytest.mark.parametrize("broadcast", ["0", "1000"])
+@pytest.fixture
+def splitting(spark):
+    """Adaptive execution splits partitions of a few kilobytes."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("make", [
+    lambda df: skew.with_group_stats(df, ["k"], n=F.count(F.lit(1))),
+    lambda df: cohort.in_cohort(df, df.where("k = 'hot'"), "k"),
+    lambda df: cohort.not_in_cohort(df, df.where("k LIKE 'k1%'"), "k"),
+])
+def test_spark_splits_a_hot_key(spark, splitting, make):
+    rows = spark.range(0, 60_000, numPartitions=8).select(
+        "id", F.when(F.col("id") % 10 == 0, F.concat(F.lit("k"), F.col("id") % 997)).otherwise("hot").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("pad")
+    )
+    made = make(rows)
+    assert made.collect()
+    assert "skew=true" in made._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_join_per_key(spark, skewed, small_limits, how, broadcast):
-    spark.conf.set(skew.BROADCAST_ROWS_CONF, broadcast)
+def test_join_per_key(spark, skewed, how):
     right = spark.createDataFrame([("hot", 1), ("k1", 2), (None, 3), ("k7", 4), ("zz", 5)], "k string, v int")
     got = skew.join_per_key(skewed, right, ["k"], how)
     plain = skewed.join(right.withColumnRenamed("k", "rk"), F.col("k").eqNullSafe(F.col("rk")), how).drop("rk")

@@ -2,45 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.logs import with_row_index
 from .skew import hot_group_rows, hot_groups, null_safe_on, prefixed
 
 
-def _position(df: DataFrame, name: str) -> Column:
-    """An order column as a number that Spark can cut into equal slots."""
-    kind = df.schema[name].dataType.typeName()
-    if kind in ("timestamp", "timestamp_ntz"):
-        return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
-    return F.col(name).cast("double")
-
-
-def _bounds(df: DataFrame, order: list[str]) -> list[Column]:
-    out = []
-    for i, name in enumerate(order):
-        p = _position(df, name)
-        out += [F.min(p).alias(f"_lo{i}"), F.max(p).alias(f"_hi{i}")]
-    return out
-
-
-def _slot(df: DataFrame, order: list[str]) -> Column:
-    """Slot of a row in a group of ``_n`` rows cut to ``_limit`` rows; 0 where ``_n`` is null.
-
-    The slots divide the first order column that varies inside the group, so all
-    rows of a slot sort before all rows of the next one.
-    """
-    n_slots = F.ceil(F.col("_n") / F.col("_limit"))
-    slot: Column = F.lit(0)
-    for i, name in reversed(list(enumerate(order))):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        cut = F.floor((_position(df, name) - lo) / F.nullif(hi - lo, F.lit(0.0)) * n_slots)
-        # Missing values sort first, so they belong to the first slot.
-        slot = F.when(lo < hi, F.when(cut.isNull(), 0).otherwise(F.least(cut, n_slots - 1))).otherwise(slot)
-    return F.coalesce(F.when(F.col("_n").isNotNull(), slot), F.lit(0)).cast("long")
-
-
 def number_and_roll(
     df: DataFrame,
     keys: list[str],
@@ -51,46 +20,26 @@ def number_and_roll(
     """Number rows 1..n inside each group and, optionally, add a trailing sum.
 
     ``roll`` is ``(column, length, output)``: the sum of the column over the last
-    ``length`` rows, the current one included.  ``order`` must order the rows of a
-    group completely and hold numbers or timestamps without nulls.
+    ``length`` rows, the current one included.  Order columns may be of any type that sorts;
+    nulls come first.  ``order`` must order the rows of a group completely.
 
-    Ordinary groups take one shuffle and one window.  Hot groups are cut into
-    order-preserving slots (twice, so that bursts and ties are cut as well),
-    numbered per slot and shifted by the rows of the earlier slots; for the sum
-    they are cut again into runs of consecutive numbers, each run carrying the
-    last rows of the run before it.
+    Ordinary groups take one shuffle and one window.  The rows of hot groups are sorted over
+    all tasks by key and order, which cuts bursts and ties like any other rows; a row's number
+    is its place less that of the first row of its group.  For the sum they are cut into runs
+    of consecutive numbers, each run carrying the last rows of the run before it.
     """
-    hot = hot_groups(df, keys, *_bounds(df, order))
+    hot = hot_groups(df, keys)
     if hot is None:
         return _number_whole(df, keys, order, number, roll)
     hot = F.broadcast(prefixed(hot, keys, "_g_"))
     is_hot = null_safe_on(keys, "_g_")
     cold = _number_whole(df.join(hot, is_hot, "left_anti"), keys, order, number, roll)
 
-    big = df.join(hot, is_hot)
-    big = big.select(*df.columns, "_limit", _slot(df, order).alias("_s1"))
-    dense = big.groupBy(*keys, "_s1").agg(
-        F.count(F.lit(1)).alias("_n"), F.max("_limit").alias("_max"), *_bounds(df, order)
-    )
-    # Like the hot groups, fewer than MAX_HOT_GROUPS slots can exceed the limit.
-    dense = prefixed(dense.where(F.col("_n") > F.col("_max")).drop("_max"), [*keys, "_s1"], "_d_")
-    big = big.join(F.broadcast(dense), null_safe_on([*keys, "_s1"], "_d_"), "left")
-    big = big.select(*df.columns, "_s1", _slot(df, order).alias("_s2"))
-    slots = big.groupBy(*keys, "_s1", "_s2").agg(F.count(F.lit(1)).alias("_rows"))
-    before = W.partitionBy(*keys).orderBy("_s1", "_s2").rowsBetween(W.unboundedPreceding, -1)
-    # One row per slot: fewer than 4 * MAX_HOT_GROUPS in all.
-    offsets = prefixed(
-        slots.withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows"),
-        keys + ["_s1", "_s2"],
-        "_o_",
-    )
-    in_slot = W.partitionBy(*keys, "_s1", "_s2").orderBy(*order)
-    big = (
-        big.withColumn("_local", F.row_number().over(in_slot))
-        .join(F.broadcast(offsets), null_safe_on(keys + ["_s1", "_s2"], "_o_"), "left")
-        .withColumn(number, F.col("_local") + F.col("_before"))
-        .select(*df.columns, number)
-    )
+    big = with_row_index(df.join(hot, is_hot, "left_semi"), [F.col(c).asc_nulls_first() for c in [*keys, *order]], "_index")
+    # One row per hot group: fewer than MAX_HOT_GROUPS.
+    starts = prefixed(big.groupBy(*keys).agg(F.min("_index").alias("_start")), keys, "_o_")
+    big = big.join(F.broadcast(starts), null_safe_on(keys, "_o_")).withColumn(number, F.col("_index") - F.col("_start") + 1)
+    big = big.select(*df.columns, number)
     if roll:
         big = _roll_runs(big, keys, number, roll)
     return cold.unionByName(big)

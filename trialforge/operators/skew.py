@@ -1,14 +1,11 @@
 """Joins and group statistics that stay balanced when one key holds much of the data.
 
-A group is *hot* when it has more rows than one task should hold.  The limit is
-``max(hot_group_rows, total / MAX_HOT_GROUPS)``, so by counting there are always
-fewer than ``MAX_HOT_GROUPS`` hot groups and their keys can be broadcast whatever
-the size of the table.  Everything else goes through an ordinary shuffle join.
-
-Operators look for hot groups first, with one map-side combined count over the key
-columns.  Most logs have none and then get the plain Spark plan.  With hot groups a
-right side of at most ``broadcastRows`` counted rows is broadcast whole; otherwise
-the few hot keys are checkpointed, so that all branches of the plan use the same set.
+A join of many rows per key with one row per key is left to Spark: its adaptive execution
+splits the tasks of a hot key, because the other side is one row that can be read by each
+part.  Keys are compared null-safely, which also puts that side behind an exchange of its
+own, as splitting needs.  No job runs while such a plan is built.
+
+Only work on the order inside groups has to know the hot groups, see :func:`hot_groups`.
 """
 
 from __future__ import annotations
@@ -19,16 +16,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Upper bound on the rows of every broadcast made here.
+#: By counting, fewer groups than this can be hot, so that tables of them may be broadcast.
 MAX_HOT_GROUPS = 50_000
 
 #: Session setting: rows that one task may hold of a single group.
 HOT_ROWS_CONF = "spark.trialforge.hotGroupRows"
 HOT_ROWS_DEFAULT = 1_000_000
 
-#: Session setting: counted rows up to which a whole table may be broadcast.
-BROADCAST_ROWS_CONF = "spark.trialforge.broadcastRows"
-
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
 
@@ -36,47 +30,50 @@ def hot_group_rows(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get(HOT_ROWS_CONF, str(HOT_ROWS_DEFAULT)))
 
 
-def broadcast_rows(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(BROADCAST_ROWS_CONF, str(MAX_HOT_GROUPS)))
-
-
-def group_profile(df: DataFrame, keys: list[str]) -> tuple[int, int]:
-    """Rows of the largest group and number of groups."""
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    row = sizes.agg(F.max("_n"), F.count(F.lit(1))).first()
-    return (row[0] or 0, row[1])
-
-
 def total_rows(df: DataFrame) -> Column:
     """Row count of ``df`` as a scalar subquery."""
     return df.agg(F.count(F.lit(1)).alias("_total")).scalar()
 
 
-def hot_groups(df: DataFrame, keys: list[str], *extra: Column) -> DataFrame | None:
-    """Groups too large for one task: keys, ``_n``, ``_limit`` and the extra aggregates.
+def hot_groups(df: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Keys of the groups too large for one task; None if there are none.
 
-    None if there are none.  Only partial aggregates are shuffled, so finding a hot
-    group is itself balanced.
+    A group is hot with more rows than ``max(hot_group_rows, total / MAX_HOT_GROUPS)``, so
+    there are fewer than ``MAX_HOT_GROUPS`` of them.  Only partial counts are shuffled, so
+    finding a hot group is itself balanced.  Runs one job.
     """
     floor = float(hot_group_rows(df))
     count = F.count(F.lit(1)).alias("_n")
     if df.groupBy(*keys).agg(count).where(F.col("_n") > floor).isEmpty():
         return None
     limit = F.greatest(F.lit(floor), total_rows(df) / F.lit(float(MAX_HOT_GROUPS)))
-    sizes = df.groupBy(*keys).agg(count, *extra).withColumn("_limit", limit)
-    return materialize(sizes.where(F.col("_n") > F.col("_limit")))
+    sizes = df.groupBy(*keys).agg(count).withColumn("_limit", limit)
+    return materialize(sizes.where(F.col("_n") > F.col("_limit")).select(*keys))
 
 
 def scratch_folder(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only where it names none."""
-    named = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="trialforge-"))
-    return named or spark.sparkContext.getCheckpointDir()
+    """The shared folder that ``spark.checkpoint.dir`` names.
+
+    Where it is unset, a local session gets a temporary folder; on a cluster, where executors
+    don't share one, that is an error.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get(CHECKPOINT_CONF, None) or context.getConf().get(CHECKPOINT_CONF)
+    if not named and not context.getCheckpointDir():
+        if not context.master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="trialforge-"))
+    elif not context.getCheckpointDir():
+        context.setCheckpointDir(named)
+    return named or context.getCheckpointDir()
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write a reduced frame once, where later steps read it several times."""
+    """Write a reduced frame once, where later steps read it several times.
+
+    Spark removes the files with the frame when ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is set.
+    """
     scratch_folder(df.sparkSession)
     return df.checkpoint()
 
@@ -89,36 +86,15 @@ def prefixed(df: DataFrame, keys: list[str], prefix: str) -> DataFrame:
     return df.withColumnsRenamed({k: prefix + k for k in keys})
 
 
-def join_per_key(
-    rows: DataFrame, right: DataFrame, keys: list[str], how: str = "left", right_is_grouped: bool = False
-) -> DataFrame:
+def join_per_key(rows: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """Join many ``rows`` per key with a ``right`` side that has one row per key.
 
-    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``; missing keys
-    match each other.  ``right_is_grouped`` says that ``right`` has exactly the keys
-    of ``rows``.  Rows of hot keys meet their few partners by a broadcast and are
-    never shuffled; no key of the remaining rows exceeds the limit.
+    ``how`` is ``inner``, ``left``, ``left_semi`` or ``left_anti``; missing keys match each
+    other.  Spark broadcasts the right side when it measures it small enough, and else splits
+    the hot keys of the rows.
     """
-    prepared = prefixed(right, keys, "_r_")
     on = null_safe_on(keys, "_r_")
-    drop = ["_r_" + k for k in keys]
-    largest, groups = group_profile(rows, keys)
-    if largest <= hot_group_rows(rows):
-        return rows.join(prepared, on, how).drop(*drop)
-    most = broadcast_rows(rows)
-    partners = groups if right_is_grouped else right.limit(most + 1).count()
-    if partners <= most:
-        return rows.join(F.broadcast(prepared), on, how).drop(*drop)
-    hot = hot_groups(rows, keys)
-    hot = F.broadcast(prefixed(hot.select(*keys), keys, "_h_"))
-    hot_on = null_safe_on(keys, "_h_")
-    right_is_hot = reduce(
-        lambda a, b: a & b, [F.col("_r_" + k).eqNullSafe(F.col("_h_" + k)) for k in keys]
-    )
-    hot_right = F.broadcast(prepared.join(hot, right_is_hot, "left_semi"))
-    hot_rows = rows.join(hot, hot_on, "left_semi").join(hot_right, on, how)
-    cold_rows = rows.join(hot, hot_on, "left_anti").join(prepared, on, how)
-    return cold_rows.drop(*drop).unionByName(hot_rows.drop(*drop))
+    return rows.join(prefixed(right, keys, "_r_"), on, how).drop(*["_r_" + k for k in keys])
 
 
 def with_group_stats(df: DataFrame, keys: list[str], **stats: Column) -> DataFrame:
@@ -130,4 +106,4 @@ def with_group_stats(df: DataFrame, keys: list[str], **stats: Column) -> DataFra
     """
     table = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
     kept = df.drop(*[n for n in stats if n in df.columns])
-    return join_per_key(kept, table, keys, "left", right_is_grouped=True)
+    return join_per_key(kept, table, keys, "left")
