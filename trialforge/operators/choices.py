@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codes
 from ..functions.rsem import half_even, percent, row_sum, share
-from .cohort import P
+from .cohort import Key, P, key_list
 from .metrics import choice_stats
 from .reshape import fill_null
 
@@ -85,7 +85,7 @@ def _task_counts(tasks: list[str]) -> list[Column]:
 
 
 def choice_matrix_training(
-    df: DataFrame, phase: str, tasks: list[str] = codes.ENTAILED_TASKS, key: str = P
+    df: DataFrame, phase: str, tasks: list[str] = codes.ENTAILED_TASKS, key: Key = P
 ) -> DataFrame:
     """One row per participant: whole percentage of training trials on each task.
 
@@ -94,22 +94,22 @@ def choice_matrix_training(
     """
     rows = df.where(F.col("phase") == phase)
     stats = [c.alias(n) for n, c in choice_stats().items()]
-    wide = rows.groupBy(key).agg(*_task_counts(tasks), F.count(F.lit(1)).alias("_n"), *stats)
+    wide = rows.groupBy(*key_list(key)).agg(*_task_counts(tasks), F.count(F.lit(1)).alias("_n"), *stats)
     shares = [percent(share(t, "_n")).alias(t) for t in tasks]
-    return fill_null(wide.select(key, *shares, *choice_stats()), 0)
+    return fill_null(wide.select(*key_list(key), *shares, *choice_stats()), 0)
 
 
 def choice_matrix_test(
-    df: DataFrame, phase: str, tasks: list[str] = codes.TASK_LEVELS, key: str = P
+    df: DataFrame, phase: str, tasks: list[str] = codes.TASK_LEVELS, key: Key = P
 ) -> DataFrame:
     """One row per participant: number of test trials on each task."""
     rows = df.where(F.col("phase") == phase)
     stats = [c.alias(n) for n, c in choice_stats().items()]
-    wide = rows.groupBy(key).agg(*_task_counts(tasks), *stats)
-    return fill_null(wide.select(key, *tasks, *choice_stats()), 0)
+    wide = rows.groupBy(*key_list(key)).agg(*_task_counts(tasks), *stats)
+    return fill_null(wide.select(*key_list(key), *tasks, *choice_stats()), 0)
 
 
-def derived_shares(df: DataFrame, denom: int = 60, key: str = P) -> DataFrame:
+def derived_shares(df: DataFrame, denom: int = 60, key: Key = P) -> DataFrame:
     """Whole percentage of test trials spent on nine sets of tasks.
 
     Every share is taken from the counts, also the one that keeps the name of its
@@ -119,7 +119,7 @@ def derived_shares(df: DataFrame, denom: int = 60, key: str = P) -> DataFrame:
         half_even(row_sum(tasks) / F.lit(denom) * 100).alias(name)
         for name, tasks in codes.SHARE_TASKS.items()
     ]
-    return df.select(key, *shares, *choice_stats())
+    return df.select(*key_list(key), *shares, *choice_stats())
 
 
 def cue_meaning(

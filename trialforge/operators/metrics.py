@@ -19,7 +19,7 @@ from ..functions.rsem import (
     strict_mean,
     succeeded,
 )
-from .cohort import P, has_phase_then_keep
+from .cohort import Key, P, has_phase_then_keep, key_list
 from .ordered import number_and_roll
 from .skew import with_group_stats
 
@@ -116,9 +116,10 @@ def mean_losses(df: DataFrame, keys: list[str] = PHASE_KEYS) -> DataFrame:
 
 
 def grand_stats(
-    df: DataFrame, column: str, mean: str = "mAcc", sd: str = "sd_band", weight: str | None = None
+    df: DataFrame, column: str, mean: str = "mAcc", sd: str = "sd_band", weight: str | None = None,
+    by: list[str] | tuple[str, ...] = (),
 ) -> DataFrame:
-    """Mean and sample sd of the whole column beside every row.
+    """Mean and sample sd of the whole column, or of each group in ``by``, beside every row.
 
     ``weight`` names a count column when each row stands for that many trial rows:
     the statistics are then those of the uncollapsed rows.
@@ -126,6 +127,10 @@ def grand_stats(
     x, n = F.col(column), F.col(weight) if weight else F.lit(1)
     size = F.sum(F.when(x.isNotNull(), n))
     complete = F.count(F.lit(1)) == F.count(x)
+    if by:
+        centred = with_group_stats(df, list(by), **{mean: F.when(complete, F.sum(x * n) / size)})
+        squares = F.sum(n * F.pow(x - F.col(mean), 2)) / F.nullif(size - 1, F.lit(0))
+        return with_group_stats(centred, list(by), **{sd: F.when(complete & (size > 1), F.sqrt(squares))})
     centre = df.agg(F.when(complete, F.sum(x * n) / size).alias("_m")).scalar()
     spread = df.agg(
         F.when(complete & (size > 1), F.sqrt(F.sum(n * F.pow(x - centre, 2)) / F.nullif(size - 1, F.lit(0)))).alias("_s")
@@ -133,8 +138,8 @@ def grand_stats(
     return df.withColumns({mean: centre, sd: spread})
 
 
-def phase_trial_count(df: DataFrame, key: str = P) -> DataFrame:
-    return with_group_stats(df, [key, "phase"], trialCount=F.count(F.lit(1)))
+def phase_trial_count(df: DataFrame, key: Key = P) -> DataFrame:
+    return with_group_stats(df, [*key_list(key), "phase"], trialCount=F.count(F.lit(1)))
 
 
 def _collapse_weighted(df: DataFrame, keys: list[str], passthrough: list[str], value: str) -> DataFrame:
@@ -148,32 +153,43 @@ def _collapse_weighted(df: DataFrame, keys: list[str], passthrough: list[str], v
     return part.withColumn("_mean", F.when(n == known, total / n)).select(*keys, *passthrough, "_n", "_mean")
 
 
-def phase_accuracy(df: DataFrame, phase: str, as_percent: bool = False, key: str = P) -> DataFrame:
-    """Accuracy of each participant in one phase and its sd over trial rows."""
-    rows = _collapse_weighted(df.where(F.col("phase") == phase), [key, "phase"], ["condition"], "correct")
+def phase_accuracy(
+    df: DataFrame, phase: str, as_percent: bool = False, key: Key = P, by: list[str] | tuple[str, ...] = ()
+) -> DataFrame:
+    """Accuracy of each participant in one phase and its sd over trial rows.
+
+    The sd is that of the whole frame, or of each group in ``by``, which ``key`` must hold.
+    """
+    keys = key_list(key)
+    rows = _collapse_weighted(df.where(F.col("phase") == phase), [*keys, "phase"], ["condition"], "correct")
     rows = rows.withColumn("accuracy", percent("_mean") if as_percent else F.col("_mean"))
-    out = grand_stats(rows, "accuracy", "mean", "sd", weight="_n")
-    return out.select("condition", key, "phase", "accuracy", "sd")
+    out = grand_stats(rows, "accuracy", "mean", "sd", weight="_n", by=by)
+    return out.select("condition", *keys, "phase", "accuracy", "sd")
 
 
-def composite_accuracy(df: DataFrame, must: str, phases: list[str], key: str = P) -> DataFrame:
-    """Rounded accuracy over several phases together, with trial-weighted mean and sd."""
+def composite_accuracy(
+    df: DataFrame, must: str, phases: list[str], key: Key = P, by: list[str] | tuple[str, ...] = ()
+) -> DataFrame:
+    """Rounded accuracy over several phases together, with trial-weighted mean and sd.
+
+    Mean and sd are those of the whole frame, or of each group in ``by``, which ``key`` must hold.
+    """
     kept = has_phase_then_keep(df, must, phases, key).withColumn("_points", F.col("correct") * 100)
-    rows = _collapse_weighted(kept, [key], ["condition"], "_points")
+    rows = _collapse_weighted(kept, key_list(key), ["condition"], "_points")
     rows = rows.withColumn("compositeAccuracy", half_even("_mean"))
-    out = grand_stats(rows, "compositeAccuracy", "mean", "sd", weight="_n")
-    return out.select("condition", key, "compositeAccuracy", "mean", "sd")
+    out = grand_stats(rows, "compositeAccuracy", "mean", "sd", weight="_n", by=by)
+    return out.select("condition", *key_list(key), "compositeAccuracy", "mean", "sd")
 
 
-def phase_best_criterion(df: DataFrame, threshold: int = 17, key: str = P) -> DataFrame:
-    best = with_group_stats(df, [key, "phase"], criterion=strict_max("criterion"))
+def phase_best_criterion(df: DataFrame, threshold: int = 17, key: Key = P) -> DataFrame:
+    best = with_group_stats(df, [*key_list(key), "phase"], criterion=strict_max("criterion"))
     return best.withColumn("pass", pass_label(F.col("criterion") >= threshold))
 
 
-def proportion_passing(df: DataFrame) -> DataFrame:
-    """Per phase: whole percentage of rows labelled as passed."""
+def proportion_passing(df: DataFrame, by: list[str] | tuple[str, ...] = ()) -> DataFrame:
+    """Per phase, and per group in ``by``: whole percentage of rows labelled as passed."""
     passed = strict_mean(if_else(F.col("pass") == PASSED, F.lit(1), F.lit(0)))
-    return with_group_stats(df, ["phase"], proportionPassing=percent(passed))
+    return with_group_stats(df, [*by, "phase"], proportionPassing=percent(passed))
 
 
 def choice_stats() -> dict[str, Column]:
@@ -184,16 +200,16 @@ def choice_stats() -> dict[str, Column]:
     }
 
 
-def participant_choice_metrics(df: DataFrame, key: str = P) -> DataFrame:
+def participant_choice_metrics(df: DataFrame, key: Key = P) -> DataFrame:
     """Per participant: optimal choices, finished tasks and both together, in percent."""
-    return with_group_stats(df, [key], **choice_stats())
+    return with_group_stats(df, key_list(key), **choice_stats())
 
 
-def choice_count(df: DataFrame, key: str = P) -> DataFrame:
-    return with_group_stats(df, [key, "chosenTask"], proportionChoice=F.count(F.lit(1)))
+def choice_count(df: DataFrame, key: Key = P) -> DataFrame:
+    return with_group_stats(df, [*key_list(key), "chosenTask"], proportionChoice=F.count(F.lit(1)))
 
 
-def choice_share(df: DataFrame, key: str = P) -> DataFrame:
+def choice_share(df: DataFrame, key: Key = P) -> DataFrame:
     """Needs ``trialCount`` from :func:`phase_trial_count`."""
     counted = choice_count(df, key)
     return counted.withColumn("proportionChoice", percent(share("proportionChoice", "trialCount")))
@@ -208,10 +224,10 @@ def collapse(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def verbal_reports(
-    df: DataFrame, columns: list[str], required: list[str] | None = None, key: str = P
+    df: DataFrame, columns: list[str], required: list[str] | None = None, key: Key = P
 ) -> DataFrame:
     """Distinct free-text answers of each participant."""
-    out = df.select(key, *columns).distinct()
+    out = df.select(*key_list(key), *columns).distinct()
     return out.dropna(subset=required) if required else out
 
 
@@ -239,6 +255,6 @@ def mark_accurate(df: DataFrame, out: str = "accurate") -> DataFrame:
     return df.withColumn(out, if_else((F.col("correct") == 1) & (F.col("remaining") == 0), F.lit(1), F.lit(0)))
 
 
-def set_point(df: DataFrame, passed: Column, bubbles: str = "n_bubbles", key: str = P) -> DataFrame:
+def set_point(df: DataFrame, passed: Column, bubbles: str = "n_bubbles", key: Key = P) -> DataFrame:
     """Bubble count of the hardest calibration level that was passed."""
-    return df.groupBy(key).agg(F.max(F.when(passed, F.col(bubbles))).alias("set_point"))
+    return df.groupBy(*key_list(key)).agg(F.max(F.when(passed, F.col(bubbles))).alias("set_point"))

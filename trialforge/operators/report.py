@@ -8,31 +8,41 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rsem import ascending, col, descending, half_even, strict_mean, strict_sd
-from .cohort import P
+from .cohort import Key, P, key_list
 from .skew import with_group_stats
 from .stats import Z_FIGURE, grid_histogram, mean_sd, reaching
 
 # --- joins ------------------------------------------------------------------
 
 
-def bind_participants(frames: list[DataFrame], key: str = P) -> DataFrame:
-    """Side by side on the participant, who must occur once in each frame.
+def once(df: DataFrame, key: Key = P) -> DataFrame:
+    """``df`` by key, with one row for each; a key that occurs twice is an error."""
+    keys = key_list(key)
+    rest = [c for c in df.columns if c not in keys]
+    message = F.concat(F.lit("several rows for "), F.concat_ws(", ", *[F.col(k).cast("string") for k in keys]))
+    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_times"), F.first(F.struct(*rest) if rest else F.lit(1)).alias("_row"))
+    unique = F.when(F.col("_times") == 1, F.col("_row")).otherwise(F.raise_error(message))
+    return counted.select(*keys, unique.alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in rest])
+
+
+def bind_participants(frames: list[DataFrame], key: Key = P) -> DataFrame:
+    """Side by side on the participant, who must occur once in each frame; else it is an error.
 
     Scripts bind such frames by row position; joining on the id gives the same rows
     when all frames hold the same ids in the same order, and right ones otherwise.
     """
-    return reduce(lambda a, b: a.join(b, key), frames)
+    return reduce(lambda a, b: a.join(b, key), [once(f, key) for f in frames])
 
 
 def lookup_or_null(
-    df: DataFrame, right: DataFrame, column: str, out: str | None = None, key: str = P
+    df: DataFrame, right: DataFrame, column: str, out: str | None = None, key: Key = P
 ) -> DataFrame:
     """The other frame's value for the id, null where the id is absent.
 
-    The other frame must hold an id once.  Looked up by key, not by position.
+    An id that the other frame holds twice is an error.  Looked up by key, not by position.
     """
-    found = right.select(key, F.col(column).alias(out or column))
-    return df.join(found, key, "left")
+    found = right.select(*key_list(key), F.col(column).alias(out or column))
+    return df.join(once(found, key), key, "left")
 
 
 def participant_summary(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rsem import half_even, percent
 from ..operators.choices import choice_matrix_test, derived_shares
-from ..operators.cohort import P
+from ..operators.cohort import Key, P, key_list
 from ..operators.metrics import pass_by_phase, suboptimal
 from ..operators.report import bind_participants, study_frame
 from ..operators.reshape import bias_index, pivot_metrics, with_literal
@@ -20,22 +20,22 @@ METRICS = [
 ]
 
 
-def usable(trials: DataFrame, phases: list[str], bad_id=None, key: str = P) -> DataFrame:
+def usable(trials: DataFrame, phases: list[str], bad_id=None, key: Key = P) -> DataFrame:
     """Trials of the phases without excluded data and, optionally, without one broken record."""
     rows = trials.where(F.col("phase").isin(*phases) & (F.col("exclude_data") != "yes"))
-    return rows if bad_id is None else rows.where(F.col(key) != bad_id)
+    return rows if bad_id is None else rows.where(F.col(key_list(key)[-1]) != bad_id)
 
 
 def phase_overview(
     trials: DataFrame, training: str, test: str, passthrough: list[str],
-    min_criterion: int = 17, min_accuracy: float = 80, test_trials: int = 60, key: str = P,
+    min_criterion: int = 17, min_accuracy: float = 80, test_trials: int = 60, key: Key = P,
 ) -> DataFrame:
     """One row per participant, phase and passthrough combination with the phase metrics.
 
     Trials are reduced on the map side to a few rows per participant; those are
     laid out by participant once, and every later step keeps to that layout.
     """
-    keys = [key, "phase", "is_test"]
+    keys = [*key_list(key), "phase", "is_test"]
     part = trials.groupBy(*keys, *passthrough).agg(
         F.count(F.lit(1)).alias("_n"),
         F.count("accurate").alias("_n_accurate"),
@@ -47,7 +47,7 @@ def phase_overview(
         suboptimal("pointGap", 1).alias("_point_gap"),
         suboptimal("bubbleGap", 1).alias("_bubble_gap"),
     )
-    part = part.repartition(key)
+    part = part.repartition(*key_list(key))
     w = W.partitionBy(*keys)
     n = F.sum("_n").over(w)
 
@@ -72,24 +72,25 @@ def phase_overview(
 def overview(
     trials: DataFrame, phases: list[str], training: str, test: str, target: str,
     bad_id=None, experiment: str = "experiment", test_trials: int = 60,
-    min_criterion: int = 17, min_accuracy: float = 80, key: str = P,
+    min_criterion: int = 17, min_accuracy: float = 80, key: Key = P,
 ) -> DataFrame:
     """One row per participant who reached ``target``, with the metrics of training and test.
 
     The number of test trials is the protocol's constant, and the interval half width
-    is that of the experiment.  The participant rows are written once, because the
+    is that of the experiment.  A log of several experiments that share ids needs ``key`` to
+    hold the experiment, the id last.  The participant rows are written once, because the
     interval and most later analyses read them again.
     """
-    passthrough = [experiment, "age", "gender"]
+    passthrough = [c for c in (experiment, "age", "gender") if c not in key_list(key)]
     rows = phase_overview(
         usable(trials, phases, bad_id, key), training, test, passthrough,
         min_criterion, min_accuracy, test_trials, key,
     )
     # A few rows per participant, already laid out by participant.
-    reached = F.max(F.when(F.col("phase") == target, 1).otherwise(0)).over(W.partitionBy(key))
+    reached = F.max(F.when(F.col("phase") == target, 1).otherwise(0)).over(W.partitionBy(*key_list(key)))
     rows = rows.withColumn("_reached", reached)
     rows = rows.where((F.col("_reached") == 1) & F.col("phase").isin(training, test))
-    ids = [key, *passthrough]
+    ids = [*key_list(key), *passthrough]
     rows = rows.select(*ids, "phase", *METRICS).distinct()
     wide = pivot_metrics(rows, ids, "phase", METRICS, [training, test])
     wide = materialize(with_literal(wide, f"trialCount_{test}", test_trials))
@@ -98,12 +99,12 @@ def overview(
 
 
 def test_choices(
-    decoded: DataFrame, over: DataFrame, training: str, test: str, test_trials: int = 60, key: str = P
+    decoded: DataFrame, over: DataFrame, training: str, test: str, test_trials: int = 60, key: Key = P
 ) -> DataFrame:
     """Shares of the test choices with the training result beside them."""
     shares = derived_shares(choice_matrix_test(decoded, test, key=key), test_trials, key)
     trained = over.select(
-        key,
+        *key_list(key),
         F.col(f"accuracy_{training}").alias("trainingAccuracy"),
         F.col(f"pass_{training}").alias("trainingPassed"),
     )
