@@ -92,3 +92,40 @@ def test_nth_value_with_missing_order(spark):
     df = spark.createDataFrame([(1, "a", 5), (2, "b", None), (3, "c", None), (4, "d", 6)], "unique_id long, text string, o int")
     assert values(cohort.ids_with_nth_value(df, "text", 2, "o"), "unique_id") == [(4,)]
     assert cohort.ids_with_nth_value(df, "text", 3, "o").count() == 0
+
+
+@pytest.mark.parametrize("as_percent", [False, True])
+def test_fused_metrics_equal_the_steps(log, as_percent):
+    keys = [*KEY, "phase", "is_test"]
+    steps = metrics.phase_metrics(metrics.block_metrics(log, [*keys, "block"], as_percent=as_percent), keys, as_percent=as_percent)
+    fused = metrics.block_and_phase_metrics(log, [*keys, "block"], keys, as_percent=as_percent)
+    columns = [*keys, "block", "criterion", "duration", "blockAcc", "accuracy", "pass", "trialCount", "maxCriterion"]
+    assert rounded(values(fused, *columns)) == rounded(values(steps, *columns))
+    assert None in {r["accuracy"] for r in fused.collect()}
+    columns = [*KEY, "phase", "chosenTask", "trialCount", "proportionChoice"]
+    steps = metrics.choice_share(metrics.phase_trial_count(log, KEY), KEY)
+    assert values(metrics.choice_share_by_phase(log, KEY), *columns) == values(steps, *columns)
+
+
+def test_fused_metrics_read_the_log_twice(spark, plan):
+    from trialforge.catalog import QUERIES
+
+    for name, windows in (("D2_phase_metrics", 4), ("D12_choice_share", 2)):
+        made = QUERIES[name](spark, "/root/testdata/sf0.001")
+        text = plan(made, "simple")
+        assert text.count("FileScan") <= 2 and text.count("Window ") <= windows
+
+
+def test_no_job_runs_while_plans_are_built(spark, log):
+    context = spark.sparkContext
+    context.setJobGroup("building", "plans only")
+    try:
+        cohort.completers(log, "CfuncTest", KEY)
+        cohort.has_phase_then_keep(log, "CfuncTest", PHASES, KEY)
+        metrics.block_and_phase_metrics(log)
+        metrics.choice_share_by_phase(log)
+        metrics.participant_choice_metrics(log)
+        metrics.phase_accuracy(log, "Crel")
+        assert list(context.statusTracker().getJobIdsForGroup("building")) == []
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)

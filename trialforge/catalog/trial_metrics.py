@@ -30,13 +30,13 @@ def d1(spark, d):
     "D1_block_metrics_percent",
     """
     SELECT event_id, unique_id, phase, block, MAX(criterion) OVER w AS criterion,
-      round_even(AVG(accurate) OVER w * 100, 0) AS blockAcc
+      round_even(AVG(duration) OVER w, 0) AS duration, round_even(AVG(accurate) OVER w * 100, 0) AS blockAcc
     FROM trials WINDOW w AS (PARTITION BY unique_id, phase, is_test, block)
     """,
 )
 def d1_percent(spark, d):
     df = metrics.block_metrics(ordered_event_trials(spark, d), hit="accurate", as_percent=True, round_duration=True)
-    return df.select(*_KEYS, "block", "criterion", "blockAcc")
+    return df.select(*_KEYS, "block", "criterion", "duration", "blockAcc")
 
 
 @query(
@@ -50,7 +50,7 @@ def d1_percent(spark, d):
     """,
 )
 def d2(spark, d):
-    df = metrics.phase_metrics(metrics.block_metrics(ordered_event_trials(spark, d)))
+    df = metrics.block_and_phase_metrics(ordered_event_trials(spark, d))
     return rounded(df.select(*_KEYS, "accuracy", "pass", "trialCount", "maxCriterion"), "accuracy")
 
 
@@ -181,7 +181,7 @@ def d11(spark, d):
 )
 def d12(spark, d):
     df = event_trials(spark, d).where(F.col("phase") == TRAINING).withColumnRenamed("response", "chosenTask")
-    df = metrics.choice_share(metrics.phase_trial_count(df))
+    df = metrics.choice_share_by_phase(df)
     return df.select(*_KEYS, "chosenTask", "proportionChoice")
 
 

@@ -21,7 +21,7 @@ from ..functions.rsem import (
 )
 from .cohort import Key, P, has_phase_then_keep, key_list
 from .ordered import number_and_roll
-from .skew import with_group_stats
+from .skew import with_group_stats, with_rolled_stats
 
 BLOCK_KEYS = [P, "phase", "is_test", "block"]
 PHASE_KEYS = [P, "phase", "is_test"]
@@ -99,6 +99,39 @@ def phase_metrics(
     )
 
 
+def block_and_phase_metrics(
+    df: DataFrame, keys: list[str] = BLOCK_KEYS, phase_keys: list[str] = PHASE_KEYS, hit: str = "correct",
+    threshold: float = 0.80, as_percent: bool = False, round_duration: bool = False,
+) -> DataFrame:
+    """:func:`block_metrics`, then :func:`phase_metrics`, from one aggregate by block and one join."""
+    partial = {
+        "_n": F.count(F.lit(1)), "_known": F.count(hit), "_hits": F.sum(hit),
+        "_criteria": F.count("criterion"), "_best": F.max("criterion"),
+        "_timed": F.count("duration"), "_time": F.sum("duration"),
+    }
+    n, phase = F.col("_n"), W.partitionBy(*phase_keys)
+
+    def whole(known: Column, of: Column, value: Column) -> Column:
+        return F.when(known == of, value)
+
+    block_accuracy = whole(F.col("_known"), n, F.col("_hits") / n)
+    block_accuracy = percent(block_accuracy) if as_percent else block_accuracy
+    duration = whole(F.col("_timed"), n, F.col("_time") / n)
+    trials = F.sum("_n").over(phase)
+    accuracy = whole(F.sum("_known").over(phase), trials, F.sum("_hits").over(phase) / trials)
+    all_blocks = F.count(block_accuracy).over(phase) == F.count(F.lit(1)).over(phase)
+    return with_rolled_stats(
+        df, keys, partial,
+        criterion=whole(F.col("_criteria"), n, F.col("_best")),
+        duration=half_even(duration) if round_duration else duration,
+        blockAcc=block_accuracy,
+        accuracy=percent(accuracy) if as_percent else accuracy,
+        **{"pass": pass_label(F.when(all_blocks, F.max(block_accuracy).over(phase)) >= threshold)},
+        trialCount=trials,
+        maxCriterion=whole(F.sum("_criteria").over(phase), trials, F.max("_best").over(phase)),
+    )
+
+
 def suboptimal(gap: str, denom: int = 60) -> Column:
     """Share of trials with a gap among choices marked as not optimal."""
     return F.count_if((F.col(gap) != 0) & (F.col("optimal_choice") == "0")) / F.lit(float(denom))
@@ -209,6 +242,16 @@ def choice_count(df: DataFrame, key: Key = P) -> DataFrame:
     return with_group_stats(df, [*key_list(key), "chosenTask"], proportionChoice=F.count(F.lit(1)))
 
 
+def choice_share_by_phase(df: DataFrame, key: Key = P) -> DataFrame:
+    """:func:`phase_trial_count`, then :func:`choice_share`, from one aggregate and one join."""
+    keys = key_list(key)
+    trials = F.sum("_n").over(W.partitionBy(*keys, "phase"))
+    chosen = F.sum("_n").over(W.partitionBy(*keys, "chosenTask"))
+    return with_rolled_stats(
+        df, [*keys, "phase", "chosenTask"], {"_n": F.count(F.lit(1))}, trialCount=trials, proportionChoice=percent(chosen / trials)
+    )
+
+
 def choice_share(df: DataFrame, key: Key = P) -> DataFrame:
     """Needs ``trialCount`` from :func:`phase_trial_count`."""
     counted = choice_count(df, key)

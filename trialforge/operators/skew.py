@@ -107,3 +107,14 @@ def with_group_stats(df: DataFrame, keys: list[str], **stats: Column) -> DataFra
     table = df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()])
     kept = df.drop(*[n for n in stats if n in df.columns])
     return join_per_key(kept, table, keys, "left")
+
+
+def with_rolled_stats(df: DataFrame, fine: list[str], partial: dict[str, Column], **stats: Column) -> DataFrame:
+    """Add aggregates of several nested or crossing groups to every row in one join.
+
+    ``partial`` are sums, counts and extremes by the ``fine`` keys, which hold the keys of all
+    the groups.  ``stats`` roll them up by windows over those few rows, never over ``df``.
+    """
+    table = df.groupBy(*fine).agg(*[c.alias(n) for n, c in partial.items()]).select(*fine, *[c.alias(n) for n, c in stats.items()])
+    kept = df.drop(*[n for n in stats if n in df.columns])
+    return join_per_key(kept, table, fine, "left")
