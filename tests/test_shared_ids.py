@@ -129,3 +129,12 @@ def test_no_job_runs_while_plans_are_built(spark, log):
         assert list(context.statusTracker().getJobIdsForGroup("building")) == []
     finally:
         context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_response_times_of_the_relational_test(log):
+    rows = base(log, KEY).where("phase = 'CfuncTest' AND is_test = 1")
+    want = {r["experiment"]: (r["m"], r["s"]) for r in rows.groupBy("experiment").agg(F.avg("duration").alias("m"), F.stddev_samp("duration").alias("s")).collect()}
+    found = training_and_test.relational_test(base(log, KEY), "CfuncTest", key=KEY, by=["experiment"]).collect()
+    assert len(found) > 8
+    for r in found:
+        assert (r["meanRT"], r["sdRT"]) == pytest.approx(want[r["experiment"]])

@@ -96,9 +96,10 @@ def test_cohort(
 def relational_test(
     base: DataFrame, phase: str, is_test: int = 1, key: Key = P, by: list[str] | tuple[str, ...] = ()
 ) -> DataFrame:
-    """Block accuracy of the relational test with mean and sd over block rows."""
+    """Block accuracy of the relational test; mean and sd of accuracy and response time over block rows."""
     rows = base.where((F.col("phase") == phase) & (F.col("is_test") == is_test))
-    columns = ["condition", *key_list(key), "phase", "is_test", "blockAcc", "pass"]
+    rows = grand_stats(rows, "duration", "meanRT", "sdRT", by=by)
+    columns = ["condition", *key_list(key), "phase", "is_test", "blockAcc", "pass", "meanRT", "sdRT"]
     rows = rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"))
     return grand_stats(rows, "blockAcc", "meanAcc", "sdAcc", weight="_rows", by=by).drop("_rows")
 
