@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
+ROWS = 100_000  # rows of a partition; small graphs aren't spread over more tasks than they fill
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) to (node, component), the smallest node that can be reached.
@@ -14,18 +16,19 @@ def components(edges: DataFrame) -> DataFrame:
     A step sends the neighbours of a node to the smallest of them: first those larger than
     the node, then those smaller.  The smallest is found by an aggregate that is combined
     before its shuffle and joined back, so a node with very many edges is no single task's
-    work.  Ends when a step changes nothing.  Nodes without an edge to another node are left
-    out; edges with a null end count as none.
+    work.  Ends when only stars are left: every node has one edge, to a node that has none
+    of its own.  Nodes without an edge to another node are left out; edges with a null end
+    count as none.
     """
-    stars = checkpointed(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("to")).distinct()
-    )
-    known = None
+    ties = edges.where("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("to"))
+    stars = checkpointed(ties.distinct())
     while True:
-        state = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("node", "to").cast("decimal(38,0)"))).first())
-        if state == known or state[0] == 0:
+        stars = stars.coalesce(stars.count() // ROWS + 1)
+        lows = stars.groupBy("node").agg(F.min("to").alias("low"), F.max("to").alias("high"))
+        centres = stars.select(F.col("to").alias("centre")).distinct()
+        open_ = lows.join(centres, F.col("node") == F.col("centre"), "left").where("low < high OR centre IS NOT NULL")
+        if open_.isEmpty():
             break
-        known = state
         both = stars.union(stars.select("to", "node"))
         low = both.groupBy("node").agg(F.least("node", F.min("to")).alias("low"))
         large = both.where("to > node").join(low, "node").select(F.col("to").alias("node"), F.col("low").alias("to")).distinct()
