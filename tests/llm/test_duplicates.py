@@ -167,7 +167,7 @@ def test_drop_lines(spark):
             text.append(" ".join(line))
         rows.append((100 + i, "\n".join(text), "s", "x"))
     found = line_dedup.drop_lines(frame(spark, rows).withColumnRenamed("kept", "n_lines"), least_words=4)
-    assert found.columns == ["doc_id", "text", "source", "n_lines", "n_dropped", "kept_text"]
+    assert found.columns == ["doc_id", "source", "text", "n_lines", "n_dropped", "kept_text"]
     order = sorted({(i is None, i or 0, t) for i, t, *_ in rows if t is not None})
     place = {}
     for no, i, t in order:

@@ -31,17 +31,19 @@ class Bitmap:
         return (self.cells[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
 
 
-def likely_in(rows: DataFrame, column: str, numbers: DataFrame, number: str) -> DataFrame:
+def likely_in(rows: DataFrame, column: str, numbers: DataFrame, number: str, inside: bool = True) -> DataFrame:
     """Rows of ``rows`` whose long ``column`` may be among ``numbers``; all that are stay.
 
     A join has to follow.  It saves shuffling rows that the join would drop; a null is dropped.
+    With ``inside`` False, all other rows: none of them is among ``numbers``.
     """
     held = rows.sparkSession.sparkContext.broadcast(Bitmap(numbers, number))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = batch.column(column)
-            inside = held.value.has(key.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
-            yield batch.filter(pa.array(inside & key.is_valid().to_numpy(zero_copy_only=False)))
+            there = held.value.has(key.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
+            there &= key.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(there == inside))
 
     return rows.mapInArrow(run, rows.schema)

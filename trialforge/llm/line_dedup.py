@@ -7,9 +7,10 @@ variant without one word, once with the word's place and once without.  Lines th
 key are within the bound, so the earliest of each key is found by an aggregate and no pair is
 listed; the line each is to be dropped for is then verified word by word.
 
-Variants are emitted only for lines that share the first or last half with another line,
-which any two lines within one edit do.  Shared halves and repeated lines are kept in bitmaps
-of bounded size that the scans look up, so that most lines never travel with their words.
+Variants are emitted only for lines that share a half with another line, and then all but an
+eighth, which any two lines within one edit do, and only for the words of that eighth.  Shared
+pieces and repeated lines are kept in bitmaps of bounded size that the scans look up, so that
+most lines never travel with their words.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from .bitmap import Bitmap, likely_in
 from .common import checkpointed, packed, unpacked
 from .words import Words, mixed, spans, spans_without, text_words
 
+HALVES, PIECES = 2, 8  # cuts of a line in the first and the second look for likely neighbours
 LEAST_WORDS = 8  # lines with fewer words are only compared for equality
-_SECOND, _HEAD, _TAIL, _PLACE = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
+_SECOND, _HEAD, _PLACE = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x589965CC75374CC3))
 
 
 class Lines:
@@ -42,16 +44,21 @@ class Lines:
         self.a = spans(words.hashes, first, self.n)
         self.b = spans(mixed(words.hashes ^ _SECOND), first, self.n)
 
-    def halves(self, words: Words) -> np.ndarray:
-        """For each line four keys; two lines within one edit share at least one.
+    def pieces(self, words: Words, parts: int) -> np.ndarray:
+        """For each line, twice ``parts`` keys; two lines within one edit share at least one.
 
-        With n words, an edit leaves the first or the last floor(m / 2) words alone, m being the
-        shorter line's number of words: n, or n - 1 when the other line is the shorter one.
+        A line is cut into ``parts`` pieces, and a key stands for all of it but one piece.  The
+        edit of two equally long lines is in one piece, so they share the key without it.  A
+        line with one word more than another shares a key when it is cut where the shorter one
+        is, counted from either end; so it is cut for its own length and for one word less.
         """
         keys = []
-        for h in (self.n // 2, (self.n - 1) // 2):
-            keys.append(mixed(spans(words.hashes, self.first, h) ^ _HEAD))
-            keys.append(mixed(spans(words.hashes, self.first + self.n - h, h) ^ _TAIL))
+        for m in (self.n, self.n - 1):
+            for k in range(parts):
+                head, tail = k * m // parts, m - (k + 1) * m // parts
+                one = spans(words.hashes, self.first, head)
+                two = spans(words.hashes, self.first + self.n - tail, tail)
+                keys.append(mixed((one ^ _HEAD) + mixed(two + (m * parts + k).astype(np.uint64))))
         return np.stack(keys, axis=1)
 
 
@@ -72,28 +79,28 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([*_who(batch, first, lines.row), pa.array(lines.at.astype(np.int32)), _long(lines.a), _long(lines.b)], ["id", "h", "at", "a", "b"])
 
 
-def _halves(least: int):
-    """Rows (half, a): the keys of the halves of long lines."""
+def _pieces(column: str, least: int, parts: int):
+    """Rows (piece, a): the keys of long lines."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, words in text_words(batch.column("text"), lower=True):
+            for _, _, words in text_words(batch.column(column), lower=True):
                 lines = Lines(words)
                 long = lines.n >= least
-                keys = lines.halves(words)[long]
-                yield pa.record_batch([_long(keys.ravel()), _long(np.repeat(lines.a[long], 4))], ["half", "a"])
+                keys = lines.pieces(words, parts)[long]
+                yield pa.record_batch([_long(keys.ravel()), _long(np.repeat(lines.a[long], 2 * parts))], ["piece", "a"])
 
     return run
 
 
 def _likely(least: int, shared):
-    """Rows (id, h, at, a, b, line): long lines of which a half may be shared, as words."""
+    """Rows (id, h, at, a, b, line): long lines that may share a half with another, as words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, _, words in text_words(batch.column("text"), lower=True):
                 lines = Lines(words)
-                keys = lines.halves(words)
+                keys = lines.pieces(words, HALVES)
                 k = np.flatnonzero((lines.n >= least) & shared.value.has(keys.ravel()).reshape(keys.shape).any(axis=1))
                 text = []
                 for i in k:
@@ -105,21 +112,36 @@ def _likely(least: int, shared):
     return run
 
 
-def _variants(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (first, key, role): role 0 the line itself, 1 a word left out, 2 the same at its place."""
-    for batch in batches:
-        for first, last, words in text_words(batch.column("line"), lower=False):
-            counts = np.diff(words.at)
-            row = np.repeat(np.arange(last - first), counts)
-            at = np.arange(len(row)) - words.at[:-1][row]
-            # The words of a line with one left out, numbered as one run: what is after it moves up.
-            before, after = spans(words.hashes, words.at[:-1][row], at), spans(words.hashes, words.at[:-1][row] + at + 1, counts[row] - at - 1)
-            whole = spans(words.hashes, words.at[:-1], counts)
-            rest = spans_without(words.hashes, words.at[:-1][row], counts[row], at)
-            placed = mixed((before ^ _PLACE) + mixed(after + at.astype(np.uint64)))
-            rows = np.concatenate([np.arange(last - first), row, row])
-            role = np.repeat(np.array([0, 1, 2], np.int32), [last - first, len(row), len(row)])
-            yield pa.record_batch([batch.column("first").take(pa.array(first + rows)), _long(np.concatenate([whole, rest, placed])), pa.array(role)], ["first", "key", "role"])
+def _variants(shared):
+    """Rows (first, key, role): role 0 the line itself, 1 a word left out, 2 the same at its place.
+
+    Words are left out where the edit can be: in pieces without which the line may be shared.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, last, words in text_words(batch.column("line"), lower=True):
+                lines = Lines(words)
+                likely = shared.value.has(lines.pieces(words, PIECES).ravel()).reshape(-1, 2 * PIECES)
+                edge = np.zeros(len(words) + 1, np.int64)
+                for j, m in enumerate((lines.n, lines.n - 1)):
+                    for k in range(PIECES):
+                        mine = likely[:, j * PIECES + k]
+                        np.add.at(edge, (lines.first + k * m // PIECES)[mine], 1)
+                        np.add.at(edge, (lines.first + (k + 1) * m // PIECES + j)[mine], -1)
+                word = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+                row = np.searchsorted(lines.first, word, "right") - 1
+                start, n = lines.first[row], lines.n[row]
+                at = word - start
+                before, after = spans(words.hashes, start, at), spans(words.hashes, word + 1, n - at - 1)
+                rest = spans_without(words.hashes, start, n, at)
+                placed = mixed((before ^ _PLACE) + mixed(after + at.astype(np.uint64)))
+                met = np.flatnonzero(likely.any(axis=1))
+                rows = np.concatenate([met, row, row])
+                role = np.repeat(np.array([0, 1, 2], np.int32), [len(met), len(row), len(row)])
+                yield pa.record_batch([batch.column("first").take(pa.array(first + lines.row[rows])), _long(np.concatenate([lines.a[met], rest, placed])), pa.array(role)], ["first", "key", "role"])
+
+    return run
 
 
 def within_one(a: Column, b: Column) -> Column:
@@ -135,20 +157,26 @@ def within_one(a: Column, b: Column) -> Column:
 def earlier_lines(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``texts`` (id, h, text) to (a, b), the hashes of long lines with an earlier neighbour."""
     kind = texts.schema["id"].dataType.simpleString()
-    halves = texts.select("text").mapInArrow(_halves(least_words), "half long, a long")
-    shared = checkpointed(halves.groupBy("half").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high").select("half"))
-    held = texts.sparkSession.sparkContext.broadcast(Bitmap(shared, "half"))
+    context = texts.sparkSession.sparkContext
+
+    def shared(frame: DataFrame, column: str, parts: int):
+        keys = frame.select(column).mapInArrow(_pieces(column, least_words, parts), "piece long, a long")
+        keys = keys.groupBy("piece").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high")
+        return context.broadcast(Bitmap(checkpointed(keys.select("piece")), "piece"))
+
+    held = shared(texts, "text", HALVES)
     likely = texts.mapInArrow(_likely(least_words, held), f"id {kind}, h int, at int, a long, b long, line string")
     likely = checkpointed(likely.groupBy("a", "b").agg(F.min(place()).alias("first"), F.first("line").alias("line")))
 
     shape = likely.schema["first"].dataType.simpleString()
-    emitted = likely.select("first", "line").mapInArrow(_variants, f"first {shape}, key long, role int")
+    finer = shared(likely, "line", PIECES)
+    emitted = likely.select("first", "line").mapInArrow(_variants(finer), f"first {shape}, key long, role int")
     own, cut, placed = (F.min(F.when(F.col("role") == r, F.col("first"))).alias(n) for r, n in enumerate(("own", "cut", "placed")))
     met = emitted.groupBy("key").agg(own, cut, placed, F.count("*").alias("times")).where("times > 1")
     met = checkpointed(met)  # so that the join's side with hot keys is an exchange Spark can split
     # A whole line meets lines with one word more; those meet it, not each other; places meet places.
     by = F.when(F.col("role") == 0, F.col("cut")).when(F.col("role") == 1, F.col("own")).otherwise(F.col("placed"))
-    found = emitted.join(met, "key").select("first", by.alias("by")).where("by < first")
+    found = likely_in(emitted, "key", met, "key").join(met, "key").select("first", by.alias("by")).where("by < first")
     earliest = found.groupBy("first").agg(F.min("by").alias("by"))
     other = likely.select(F.col("first").alias("by"), F.col("line").alias("by_line"))
     pairs = likely.join(earliest, "first").join(other, "by")
@@ -185,12 +213,18 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     added = ["n_lines", "n_dropped", "kept_text"]
     texts = docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("h"), F.col(text_col).alias("text"))
     gone = dropped_lines(texts, least_words)
-    rows = docs.select(packed(docs, added).alias("row"), F.col(id_col).alias("row_id"), F.hash(text_col).alias("row_h"), F.col(text_col).alias("text"))
-    joined = rows.join(gone, rows["row_id"].eqNullSafe(gone["id"]) & (rows["row_h"] == gone["h"]), "left")
+    rows = docs.select(packed(docs, [*added, text_col]).alias("row"), F.col(id_col).alias("row_id"), F.hash(text_col).alias("row_h"), F.col(text_col).alias("text"))
+    # Only texts that may lose lines are shuffled; the others stay where they are.
+    gone = checkpointed(gone.withColumn("key", F.xxhash64("id", "h")))
+    keyed = rows.withColumn("key", F.xxhash64("row_id", "row_h"))
+    losing = likely_in(keyed, "key", gone, "key")
+    same = losing["row_id"].eqNullSafe(gone["id"]) & (losing["row_h"] == gone["h"])
+    whole = likely_in(keyed, "key", gone, "key", inside=False).select("row", "text", F.lit(None).cast("array<int>").alias("gone"))
+    joined = losing.join(gone, same, "left").select("row", "text", "gone").union(whole)
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda line, at: ~F.coalesce(F.array_contains("gone", at), F.lit(False)))
     counts = F.coalesce(F.size(lines), F.lit(0))
     return joined.select(
-        *unpacked(rows, "row"), F.when(F.col("text").isNull(), 0).otherwise(counts).cast("long").alias("n_lines"),
+        *unpacked(joined, "row"), F.col("text").alias(text_col), F.when(F.col("text").isNull(), 0).otherwise(counts).cast("long").alias("n_lines"),
         F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("kept_text"),
     )
