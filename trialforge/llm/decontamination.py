@@ -29,7 +29,7 @@ from .words import text_words, windows
 GRAM = 3
 LEAST_SCORE = 0.5
 COMMON = 8  # times the median frequency of an item's runs, beyond which a run is no seed
-BLOCK_WORDS = 500_000  # words of test items that tasks hold at a time
+BLOCK_WORDS = 200_000  # words of test items that tasks hold at a time
 MATCH, OTHER = 2, -1
 CELLS = 1 << 20  # cells of alignments that advance together
 
