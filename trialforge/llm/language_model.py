@@ -26,7 +26,7 @@ from .common import checkpointed
 from .words import mixed, text_words
 
 ORDER = 2
-BLOCK_TOKENS = 1_500_000
+BLOCK_TOKENS = 1_000_000
 BUCKET_ENTRIES = 1_000_000
 STEPS, TOLERANCE = 200, 1e-9  # of the EM; it stops when the gain in log likelihood falls below
 CELLS = 8  # grid cells for each doubling of an estimate, in what the EM sees
