@@ -22,6 +22,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bitmap import Bitmap
 from .common import checkpointed, packed, unpacked
 from .labelled import fit_sample
 from .words import Words, text_words
@@ -134,7 +135,7 @@ def _features(lexicons: list[Lexicon], by: str | None):
     return run
 
 
-def _entry_counts(wanted: np.ndarray | None):
+def _entry_counts(wanted):
     """Rows (entry, half, toxic, texts) for each task: texts that have each wanted entry."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +146,7 @@ def _entry_counts(wanted: np.ndarray | None):
                 group = half.astype(np.int64) * 2 + toxic
                 found, groups = [], []
                 for numbers in entries(words):
-                    known = (numbers != 0) if wanted is None else np.isin(numbers, wanted)
+                    known = (numbers != 0) if wanted is None else (numbers != 0) & wanted.value.has(numbers)
                     pair = np.unique(np.stack([numbers[known], row[known].astype(np.uint64)]), axis=1) if known.any() else np.empty((2, 0), np.uint64)
                     found.append(pair[0])
                     groups.append(group[pair[1].astype(np.int64)])
@@ -164,25 +165,32 @@ def _entry_counts(wanted: np.ndarray | None):
 def learn_lexicons(sample: DataFrame) -> list[Lexicon]:
     """Of ``sample`` (text, label, half): the lexicon of half 1, of half 0, and of both.
 
-    What comes to the driver is bounded by the entries of the bounded sample.
+    Entries are counted and weighed in Spark; only the lexicons come to the driver, which are
+    part of the entries that ``LEAST_DOCS`` toxic texts of the bounded sample have.
     """
     kind = "entry long, half long, label long, texts long"
     toxic = sample.where("label = 1").mapInArrow(_entry_counts(None), kind).groupBy("entry").agg(F.sum("texts").alias("texts"))
-    wanted = toxic.where(F.col("texts") >= LEAST_DOCS).select("entry").toPandas()["entry"].to_numpy(np.int64).astype(np.uint64)
-    counts = sample.mapInArrow(_entry_counts(np.sort(wanted)), kind).groupBy("entry", "half", "label").agg(F.sum("texts").alias("texts")).toPandas()
+    wanted = checkpointed(toxic.where(F.col("texts") >= LEAST_DOCS).select("entry"))
+    held = sample.sparkSession.sparkContext.broadcast(Bitmap(wanted, "entry"))
     totals = {(r["half"], r["label"]): r["count"] for r in sample.groupBy("half", "label").count().collect()}
-    entry = np.sort(wanted)
-    have = np.zeros((2, 2, len(entry)))
-    have[counts["half"], counts["label"], np.searchsorted(entry, counts["entry"].to_numpy(np.int64).astype(np.uint64))] = counts["texts"]
-    all_ = np.array([[totals.get((h, t), 0) for t in (0, 1)] for h in (0, 1)], float)
-
-    def lexicon(halves: list[int]) -> Lexicon:
-        texts, n = have[halves].sum(0), all_[halves].sum(0)
-        odds = np.log((texts[1] + 0.3) / (n[1] + 1)) - np.log((texts[0] + 1.0) / (n[0] + 1))
-        kept = (odds >= LEAST_ODDS) & (texts[1] >= min(LEAST_DOCS, 2 if len(halves) == 1 else LEAST_DOCS))
-        return Lexicon(entry[kept], odds[kept])
-
-    return [lexicon([1]), lexicon([0]), lexicon([0, 1])]
+    texts = {(h, t): F.sum(F.when((F.col("half") == h) & (F.col("label") == t), F.col("texts")).otherwise(0)).alias(f"n{h}{t}") for h in (0, 1) for t in (0, 1)}
+    counts = sample.mapInArrow(_entry_counts(held), kind).join(wanted, "entry", "left_semi").groupBy("entry").agg(*texts.values())
+
+    def odds(halves: list[int]) -> Column:
+        """Log odds of an entry in the halves; null where it is too rare or too weak."""
+        seen = [sum(F.col(f"n{h}{t}") for h in halves) for t in (0, 1)]
+        n = [sum(totals.get((h, t), 0) for h in halves) + 1 for t in (0, 1)]
+        value = F.log((seen[1] + 0.3) / n[1]) - F.log((seen[0] + 1.0) / n[0])
+        return F.when((value >= LEAST_ODDS) & (seen[1] >= (LEAST_DOCS if len(halves) > 1 else min(LEAST_DOCS, 2))), value)
+
+    kept = counts.select("entry", odds([1]).alias("one"), odds([0]).alias("zero"), odds([0, 1]).alias("both"))
+    kept = kept.where(F.coalesce("one", "zero", "both").isNotNull()).toPandas()
+
+    def lexicon(name: str) -> Lexicon:
+        mine = kept[kept[name].notna()]
+        return Lexicon(mine["entry"].to_numpy(np.int64).astype(np.uint64), mine[name].to_numpy(float))
+
+    return [lexicon(name) for name in ("one", "zero", "both")]
 
 
 class ToxicityModel:
