@@ -82,6 +82,20 @@ def test_an_item_leaked_everywhere_is_still_found(spark):
     assert decontamination.leaks(frame(spark, rows), spark.createDataFrame([(1, item)], "item_id long, text string")).where("contaminated").count() == 100
 
 
+def test_edited_copies_beside_a_verbatim_one_are_found(spark):
+    """Runs that edited copies share are common beside those that only the verbatim copy has."""
+    draw = random.Random(6)
+    item = [f"word{i}" for i in range(40)]
+    edited = [f"other{i}" if i % 5 == 4 else x for i, x in enumerate(item)]
+    copies = [edited] * 9 + [item]
+    rows = [(i, " ".join(random_text(draw, 30, 3000) + run + random_text(draw, 30, 3000)), "s", "x") for i, run in enumerate(copies)]
+    benchmark = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    found = decontamination.leaks(frame(spark, rows), benchmark).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found if r["contaminated"]} == {(i, 1) for i in range(10)}
+    assert all(r["score"] == pytest.approx(align(item, marks_off(r["text"]))) for r in found)
+    assert decontamination.drop_leaks(frame(spark, rows), benchmark).count() == 0
+
+
 def area(scores, labels):
     order = np.argsort(scores, kind="stable")
     _, same, times = np.unique(np.asarray(scores), return_inverse=True, return_counts=True)

@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 1. One scan of the texts finds every run of ``GRAM`` words that also occurs in a test item
    and emits the stretch of text around it.
-2. The corpus frequency of each run is counted.  A run is a seed of an item unless it is
-   much more frequent than the item's runs usually are, so the measure follows an item that
-   leaked into very many documents, while everyday runs drop out.
+2. Every run is a seed of the items that have it, however often the corpus has it: how many
+   runs a pair shares doesn't bound its score, since a copy edited at every third word shares
+   few or none, so neither frequency nor number can tell which pairs need no alignment.
 3. Seeds join stretches to items, and each joined pair is aligned locally on words: a match
    counts 2, a mismatch or gap -1.  The score is the best alignment over that of the whole
    item with itself.
@@ -28,7 +28,6 @@ from .words import text_words, windows
 
 GRAM = 3
 LEAST_SCORE = 0.5
-COMMON = 8  # times the median frequency of an item's runs, beyond which a run is no seed
 BLOCK_WORDS = 200_000  # words of test items that tasks hold at a time
 MATCH, OTHER = 2, -1
 CELLS = 1 << 20  # cells of alignments that advance together
@@ -150,19 +149,16 @@ def _align(held):
     return run
 
 
-def alignments(texts: DataFrame, items: Items, common: int = COMMON) -> DataFrame:
-    """``texts`` (id, text) to (id, item, score) for every pair that a seed joins."""
+def alignments(texts: DataFrame, items: Items) -> DataFrame:
+    """``texts`` (id, text) to (id, item, score) for every pair that shares a run."""
     spark = texts.sparkSession
     kind = texts.schema["id"].dataType.simpleString()
     held = spark.sparkContext.broadcast(items)
     around = checkpointed(
         texts.mapInArrow(_stretches(held), f"id {kind}, stretch long, words array<int>, at array<int>, gram array<int>")
     )
-    places = spark.createDataFrame(items.places, "gram int, item int, place int")
-    counts = around.select(F.explode("gram").alias("gram")).groupBy("gram").agg(F.count("*").alias("times"))
-    known = places.join(counts, "gram")
-    usual = known.groupBy("item").agg(F.percentile("times", 0.5).alias("median"))
-    seeds = known.join(usual, "item").where(F.col("times") <= common * F.col("median")).select("gram", "item", "place")
+    # Bounded by the block, so broadcast: hits of a common run stay spread over the tasks.
+    seeds = F.broadcast(spark.createDataFrame(items.places, "gram int, item int, place int"))
     hits = around.select("id", "stretch", "words", F.explode(F.arrays_zip("at", "gram")).alias("hit"))
     # Words travel once for each stretch and item: seeds are looked up first, without them.
     joined = (
@@ -192,7 +188,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """All rows of ``docs`` with the test item that each resembles most.
 
     Words are runs of letters, digits and non-ASCII characters, A-Z lower-cased.  Adds
-    ``item_id`` (of equal scores the smallest; null: no seed joined any), ``score`` (0 to 1; 0
+    ``item_id`` (of equal scores the smallest; null: no item shares a run with the text), ``score`` (0 to 1; 0
     without an item), ``n_items`` (items with ``least_score`` or more) and ``contaminated``
     (at least one such), which take the place of columns so named.  Null and empty texts and
     items match nothing; an empty benchmark leaves all rows clean; rows that repeat an id
