@@ -188,6 +188,20 @@ def test_drop_lines(spark):
     assert line_dedup.drop_lines(frame(spark, [])).count() == 0
 
 
+def test_short_lines_meet_within_one_edit(spark):
+    """With the bounds of the query: lines of 4 to 7 words, and of 7 and 8."""
+    draw = random.Random(12)
+    rows, want = [], {}
+    for n in range(1, 9):
+        line = [f"n{n}w{i}" for i in range(n)]
+        at = draw.randrange(n)
+        for k, other in enumerate([line, [*line[:at], "new", *line[at + 1 :]], [*line[:at], "more", *line[at:]], [*line, "two", "more"]]):
+            rows.append((10 * n + k, " ".join(other), "s", "x"))
+            want[10 * n + k] = int(n >= 4 and k in (1, 2))
+    found = line_dedup.drop_lines(frame(spark, rows)).collect()
+    assert {r["doc_id"]: r["n_dropped"] for r in found} == want
+
+
 def test_kept_text_digest_matches(spark):
     row = substring_dedup.cut_repeats(frame(spark, [(1, "a\nb", None, None)])).first()
     assert hashlib.sha256(row["kept_text"].encode()).hexdigest() == hashlib.sha256(b"a b").hexdigest()

@@ -27,7 +27,7 @@ from .common import checkpointed, packed, unpacked
 from .words import Words, mixed, spans, spans_without, text_words
 
 HALVES, PIECES = 2, 8  # cuts of a line in the first and the second look for likely neighbours
-LEAST_WORDS = 8  # lines with fewer words are only compared for equality
+LEAST_WORDS = 4  # lines with fewer words, of which an edit changes a third or more, are only compared for equality
 _SECOND, _HEAD, _PLACE = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x589965CC75374CC3))
 
 
