@@ -1,4 +1,4 @@
-"""Substring dedup on a compacted de Bruijn graph of the corpus.
+"""Substring dedup by minimizer buckets, in place of a compacted de Bruijn graph.
 
 A window of ``WINDOW`` words holds a run of word k-mers.  The one with the smallest number is
 its node; equal windows have the same node at the same place.  The windows that follow each
