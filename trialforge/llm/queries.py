@@ -10,7 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, exact_dedup, language_model, line_dedup, mixing, near_dedup, quality, substring_dedup, toxicity, url_filter
+from . import (
+    decontamination, exact_dedup, filter_audit, language_model, line_dedup, mixing, near_dedup, quality, sharding, substring_dedup, toxicity,
+    url_filter, whitening,
+)
 from .common import id_remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +118,58 @@ def substrings(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     cut = substring_dedup.cut_repeats(docs, keep_text=False)
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op11_sharding")
+def shards(spark: SparkSession, folder: str) -> DataFrame:
+    rows = sharding.measured(table(spark, folder, "documents"))
+    return sharding.sharded(rows).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@query(
+    "op12_filter_audit",
+    r"""
+    WITH letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f, unnest([1, 2, 4, 8, 16]) AS bit),
+    seen AS (
+      SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS body, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words
+      FROM documents),
+    masked AS (
+      SELECT doc_id, part,
+        CASE WHEN len(words) < 200 THEN 1 ELSE 0 END
+        + CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * length(regexp_replace(body, '[^A-Z]', '', 'g')) > 3 * length(body) THEN 4 ELSE 0 END
+        + CASE WHEN regexp_matches(body, '[#$%&*|]') THEN 8 ELSE 0 END
+        + CASE WHEN min(doc_id) OVER (PARTITION BY body) < coalesce(doc_id, 9223372036854775807) THEN 16 ELSE 0 END AS mask
+      FROM seen),
+    marks AS (SELECT doc_id, max(quality) = 1 AS good, max(toxic) = 1 AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+    cells AS (
+      SELECT part, mask, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+      FROM masked LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+    orders AS (
+      SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+      FROM letters a, letters b, letters c, letters d, letters e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+        AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+    steps AS (
+      SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::BIGINT AS earlier
+      FROM orders, unnest([1, 2, 3, 4, 5]) AS s(step)),
+    told AS (
+      SELECT part, filter_order, step::INT AS step, bit,
+        sum(CASE WHEN mask & (earlier | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+        sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+        sum(CASE WHEN mask & bit > 0 AND mask & earlier > 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+        sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+        sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+        sum(CASE WHEN mask & bit > 0 AND mask & earlier = 0 AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost
+      FROM cells, steps GROUP BY ALL)
+    SELECT * EXCLUDE (bit), (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM told
+    """,
+)
+def audited(spark: SparkSession, folder: str) -> DataFrame:
+    return filter_audit.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op13_whitening")
+def components(spark: SparkSession, folder: str) -> DataFrame:
+    """``deviation`` is null where it is beyond a long; the operator has it as a decimal."""
+    found = whitening.whitened(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    return found.select("vec_id", "component", "n", F.col("deviation").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error")
