@@ -69,7 +69,7 @@ def test_bayes_factor_of_huge_groups_does_not_overflow(spark):
 
 def test_signed_rank_exact(spark):
     d = [(round(x - y, 6),) for x, y in zip(DEPRESSION_X, DEPRESSION_Y)]
-    r = stats.signed_rank(spark.createDataFrame(d, "d double"), "d", grid=0.001, low=-1, high=2).first()
+    r = stats.signed_rank(spark.createDataFrame(d, "d double"), "d").first()
     assert (r.v, r.p_value, round(r.estimate, 6)) == (40, 0.01953125, 0.46)
 
 
@@ -95,10 +95,10 @@ def test_signed_rank_against_all_sign_patterns(spark, alternative):
     assert r.estimate == np.median(means)
 
 
-def test_signed_rank_off_grid_is_an_error(spark):
-    df = spark.createDataFrame([(50.5,)], "x double")
-    with pytest.raises(Exception, match="off the grid"):
-        stats.signed_rank(df, "x", 50).collect()
+def test_signed_rank_takes_any_value(spark):
+    df = spark.createDataFrame([(0.55,), (50.5,), (120.0,)], "x double")
+    r = stats.signed_rank(df, "x", 50).first()
+    assert (r.n, r.v, r.estimate) == (3, 3.0, 55.3875)
 
 
 def test_signed_rank_keeps_groups_without_differences(spark):
@@ -176,8 +176,8 @@ def test_small_tails_of_less_mirror_greater(spark):
 
 def test_signed_rank_of_billions(spark):
     n = 5_000_000_000
-    hist = spark.createDataFrame([(1, 40, n), (1, 55, n), (1, 70, n)], "g int, slot int, n long")
-    r = stats.signed_rank_of_counts(hist, 50, "greater", 0.95, ["g"], 1.0, 0.0, 100.0).first()
+    counts = spark.createDataFrame([(1, float(x), float(n)) for x in (40, 55, 70)], "g int, x double, n double")
+    r = stats.signed_rank_of_values(counts, 50, "greater", 0.95, ["g"]).first()
     # Sizes 5, 10 and 20: mid-ranks n / 2, 3n / 2 and 5n / 2 (and a half each).
     assert r.n == 3 * n and r.v == pytest.approx(n * (n / 2 + 5 * n / 2 + 1), rel=1e-9) and r.p_value < 1e-300
     two = spark.range(1).select(F.lit(4_000_000_000).alias("n1"), F.lit(4_000_000_000).alias("n2"))

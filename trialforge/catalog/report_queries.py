@@ -259,6 +259,23 @@ def m3(spark, d):
     return report.dot_bins(studies(spark, d), "accuracy", ["study"])
 
 
+@query(
+    "M3_dot_bins_continuous",
+    """
+    vals AS (SELECT phase, duration AS x, COUNT(*) AS n FROM trials GROUP BY ALL),
+    walk AS (SELECT phase, MIN(x) AS start FROM vals GROUP BY phase
+             UNION ALL
+             SELECT w.phase, (SELECT MIN(v.x) FROM vals v WHERE v.phase = w.phase AND v.x >= w.start + 12.5 + 1e-8)
+             FROM walk w WHERE w.start IS NOT NULL)
+    SELECT w.phase, ROUND((MIN(v.x) + MAX(v.x)) / 2, 6) AS bin_centre, CAST(SUM(v.n) AS BIGINT) AS dots
+    FROM walk w JOIN vals v ON v.phase = w.phase AND v.x >= w.start AND v.x < w.start + 12.5 + 1e-8
+    GROUP BY w.phase, w.start
+    """,
+)
+def m3_continuous(spark, d):
+    return rounded(report.dot_bins(event_trials(spark, d), "duration", ["phase"], 12.5), "bin_centre")
+
+
 @query(
     "M4_trajectories",
     f"""{_STUDIES}

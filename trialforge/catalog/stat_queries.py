@@ -248,38 +248,56 @@ def l5(spark, d):
     return rounded(out, *_BF).drop("bf10")
 
 
-_RANKS = """
-    dd AS (SELECT experiment_no, accuracy, accuracy - 70 AS d FROM ta),
+def _ranks_sql(source: str, column: str, mu: float, shift: float, critical: float) -> str:
+    """CTEs st (statistics), es (median of the pairwise means), wo (pairwise means, numbered) and ks (place of the bound)."""
+    return f"""
+    dd AS (SELECT experiment_no, {column} AS x, {column} - {mu} AS d FROM {source}),
     nz AS (SELECT * FROM dd WHERE d <> 0),
     rk AS (SELECT *, RANK() OVER (PARTITION BY experiment_no ORDER BY ABS(d))
                 + (COUNT(*) OVER (PARTITION BY experiment_no, ABS(d)) - 1) / 2 AS r FROM nz),
     ti AS (SELECT experiment_no, SUM(c * c * c - c)::DOUBLE AS tie_sum
            FROM (SELECT experiment_no, ABS(d), COUNT(*) AS c FROM nz GROUP BY ALL) GROUP BY 1),
+    sa AS (SELECT experiment_no, SUM(c)::DOUBLE AS m, SUM(c * c * c - c)::DOUBLE AS same
+           FROM (SELECT experiment_no, x, COUNT(*) AS c FROM dd GROUP BY ALL) GROUP BY 1),
     ze AS (SELECT experiment_no, COUNT(*) FILTER (d = 0) AS zeros FROM dd GROUP BY 1),
     sr AS (SELECT experiment_no, COUNT(*) AS n, SUM(CASE WHEN d > 0 THEN r ELSE 0 END) AS v FROM rk GROUP BY 1),
-    st AS (SELECT *, n * (n + 1) / 4 AS mu, SQRT(n * (n + 1) * (2 * n + 1) / 24 - tie_sum / 48) AS sd
+    st AS (SELECT *, (v - n * (n + 1) / 4 - {shift}) / SQRT(n * (n + 1) * (2 * n + 1) / 24 - tie_sum / 48) AS z
            FROM sr JOIN ti USING (experiment_no) JOIN ze USING (experiment_no)),
-    nu AS (SELECT experiment_no, accuracy, ROW_NUMBER() OVER (PARTITION BY experiment_no ORDER BY accuracy) AS i FROM nz),
-    wa AS (SELECT a.experiment_no, (a.accuracy + b.accuracy) / 2 AS w FROM nu a JOIN nu b
-           ON a.experiment_no = b.experiment_no AND a.i <= b.i),
+    nu AS (SELECT experiment_no, x, ROW_NUMBER() OVER (PARTITION BY experiment_no ORDER BY x) AS i FROM dd),
+    wa AS (SELECT a.experiment_no, (a.x + b.x) / 2 AS w FROM nu a JOIN nu b ON a.experiment_no = b.experiment_no AND a.i <= b.i),
     wo AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY experiment_no ORDER BY w) AS k FROM wa),
-    es AS (SELECT experiment_no, MEDIAN(w) AS estimate FROM wa GROUP BY 1)
-"""
+    es AS (SELECT experiment_no, MEDIAN(w) AS estimate FROM wa GROUP BY 1),
+    ks AS (SELECT experiment_no, m * (m + 1) / 2 + 1
+             - CEIL(m * (m + 1) / 4 + {shift} + {critical} * SQRT(m * (m + 1) * (2 * m + 1) / 24 - same / 48)) AS place FROM sa)"""
 
 
 @query(
     "L6_signed_rank",
-    f"""{_ACC}, {_RANKS}
-    SELECT experiment_no, st.n, zeros, v, tie_sum, ROUND((v - mu - 0.5) / sd, 6) AS z,
-      ROUND({normal_tail_sql("((v - mu - 0.5) / sd)")}, 6) AS p_value, estimate, w AS ci_low, 'Infinity'::DOUBLE AS ci_high
-    FROM st JOIN es USING (experiment_no) JOIN wo USING (experiment_no)
-    WHERE k = FLOOR(mu - 1.6448536269514722 * sd)
+    f"""{_ACC}, {_ranks_sql("ta", "accuracy", 70, 0.5, 1.6448536269514722)}
+    SELECT experiment_no, st.n, zeros, v, tie_sum, ROUND(z, 6) AS z, ROUND({normal_tail_sql("z")}, 6) AS p_value,
+      estimate, w AS ci_low, 'Infinity'::DOUBLE AS ci_high
+    FROM st JOIN es USING (experiment_no) JOIN wo USING (experiment_no) JOIN ks USING (experiment_no) WHERE k = place
     """,
 )
 def l6(spark, d):
     return rounded(stats.signed_rank(tests(spark, d), "accuracy", 70, by=_BY), "z", "p_value")
 
 
+@query(
+    "L6_signed_rank_continuous",
+    f"""s AS (SELECT experiment_no, duration FROM trials WHERE phase = 'CfuncTest'),
+    {_ranks_sql("s", "duration", 512.5, -0.5, -1.6448536269514722)}
+    SELECT experiment_no, st.n, zeros, v, tie_sum, ROUND(z, 6) AS z, ROUND({normal_tail_sql("(-z)")}, 6) AS p_value,
+      ROUND(estimate, 6) AS estimate, '-Infinity'::DOUBLE AS ci_low, ROUND(w, 6) AS ci_high
+    FROM st JOIN es USING (experiment_no) JOIN wo USING (experiment_no) JOIN ks USING (experiment_no) WHERE k = place
+    """,
+)
+def l6_continuous(spark, d):
+    trials = event_trials(spark, d).where(F.col("phase") == TEST)
+    out = stats.signed_rank(trials, "duration", 512.5, "less", by=_BY)
+    return rounded(out, "z", "p_value", "estimate", "ci_high")
+
+
 @query(
     "L7_ci_half_width",
     f"""{_ACC}

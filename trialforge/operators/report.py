@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.rsem import ascending, col, descending, half_even, strict_mean, strict_sd
 from .cohort import Key, P, key_list
-from .skew import with_group_stats
-from .stats import Z_FIGURE, grid_histogram, mean_sd, reaching
+from .ranks import value_counts, walked_bins
+from .skew import materialize, with_group_stats
+from .stats import Z_FIGURE, mean_sd, reaching
+
+BIN_SLACK = 1e-8  # a value beyond a bin by less than this still belongs to it
 
 # --- joins ------------------------------------------------------------------
 
@@ -147,37 +150,15 @@ def study_frame(df: DataFrame, by: str, metrics: dict[str, tuple[str, str]], z:
     return with_group_stats(df, [by], **stats)
 
 
-def dot_bins(
-    df: DataFrame, column: str, by: list[str], width: float = 1.0,
-    grid: float = 1.0, low: float = 0.0, high: float = 100.0,
-) -> DataFrame:
+def dot_bins(df: DataFrame, column: str, by: list[str], width: float = 1.0) -> DataFrame:
     """Dot-density bins: walking up the values, one beyond bin start + width opens a bin.
 
-    A value exactly at start + width still belongs to the bin, and the centre of a
-    bin is the middle of its smallest and largest member.  Rows are only counted per
-    grid slot; the walk sees at most ``(high - low) / grid + 1`` slots per group.
+    A value exactly at start + width, or beyond by less than 1e-8, still belongs to the bin, and the centre of a
+    bin is the middle of its smallest and largest member.  Missing and infinite values have no
+    dots.  Equal values are counted first; see :func:`~.ranks.walked_bins` for groups of any size.
     """
-    step = int(width / grid + 1e-8)
-    slots = grid_histogram(df, column, by, grid, low, high)
-    walked = slots.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("slot", "n"))).alias("_slots"))
-    kind = "array<struct<first:int,last:int,n:bigint>>"
-
-    def walk(bins, s):
-        last = F.element_at(bins, -1)
-        opens = (F.size(bins) == 0) | (s["slot"] > F.try_element_at(bins, F.lit(-1))["first"] + step)
-        fresh = F.struct(s["slot"].alias("first"), s["slot"].alias("last"), s["n"].alias("n"))
-        grown = F.struct(last["first"].alias("first"), s["slot"].alias("last"), (last["n"] + s["n"]).alias("n"))
-        return F.when(opens, F.concat(bins, F.array(fresh))).otherwise(
-            F.concat(F.slice(bins, F.lit(1), F.size(bins) - 1), F.array(grown))
-        )
-
-    bins = F.aggregate(F.col("_slots"), F.array().cast(kind), walk)
-    out = walked.select(*by, F.explode(bins).alias("_b"))
-    return out.select(
-        *by,
-        (low + grid * (F.col("_b.first") + F.col("_b.last")) / 2.0).alias("bin_centre"),
-        F.col("_b.n").alias("dots"),
-    )
+    bins = walked_bins(materialize(value_counts(df, column, by)), by, width + BIN_SLACK)
+    return bins.select(*by, ((F.col("first") + F.col("last")) / 2).alias("bin_centre"), F.col("dots").cast("long").alias("dots"))
 
 
 def trajectories(

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.distributions import (
@@ -16,6 +15,8 @@ from ..functions.distributions import (
     t_upper_tail,
 )
 from ..functions.rsem import count_distinct, strict_max, strict_mean, strict_sd
+from .ranks import pairwise_means_at, running_sum, value_counts
+from .skew import join_per_key, materialize
 
 Z_ONE_SIDED_95 = 1.6448536269514722
 Z_FIGURE = 1.64
@@ -224,134 +225,109 @@ def bf_two_sample(
 # --- rank test --------------------------------------------------------------
 
 
-def grid_histogram(
-    df: DataFrame, column: str, by: list[str], grid: float, low: float, high: float
-) -> DataFrame:
-    """Counts per group and grid slot; slot ``i`` stands for ``low + i * grid``.
-
-    Scores such as whole percentages lie on a known grid, so a group has at most
-    ``(high - low) / grid + 1`` slots however many rows it has.  A value off the grid
-    is an error rather than being moved.
-    """
-    x = F.col(column).cast("double")
-    slot = F.round((x - low) / grid)
-    on_grid = (F.abs(x - (low + slot * grid)) <= 1e-9 * max(1.0, abs(low), abs(high))) & x.between(low, high)
-    message = F.concat(F.lit(f"{column} is off the grid: "), x.cast("string"))
-    checked = F.when(on_grid, slot).otherwise(F.raise_error(message)).cast("int")
-    rows = df.where(x.isNotNull()).select(*by, checked.alias("slot"))
-    return rows.groupBy(*by, "slot").agg(F.count(F.lit(1)).alias("n"))
-
-
 def signed_rank(
     df: DataFrame, column: str, mu: float = 0.0, alternative: str = "greater", conf: float = 0.95,
-    by: list[str] = [], grid: float = 1.0, low: float = 0.0, high: float = 100.0,
-    exact: bool | None = None, exact_below: int = 50,
+    by: list[str] = [], exact: bool | None = None, exact_below: int = 50,
 ) -> DataFrame:
-    """Wilcoxon signed-rank test of scores on a grid against ``mu``.
+    """Wilcoxon signed-rank test against ``mu``; missing and infinite values are left out.
 
-    Zero differences are dropped.  With ``exact`` None, the null distribution is exact for
-    fewer than ``exact_below`` observations without ties or zeros, else normal with
+    Zero differences are dropped for the test.  With ``exact`` None, the null distribution is
+    exact for fewer than ``exact_below`` observations without ties or zeros, else normal with
     continuity and tie correction; True asks for the exact one wherever there are no ties
     or zeros, False for the normal one.
-    ``estimate`` is the median of the pairwise means (Hodges-Lehmann) and ``ci_low``
-    the order statistic of the pairwise means at the one-sided level.  Rows are only
-    counted per grid slot; ranks and pairwise means come from those counts.
+
+    ``estimate`` and the bound are where the statistic of the values less ``estimate`` (or the bound)
+    crosses its centre (or its critical value).  Between two pairwise means, the statistic of the
+    normal test depends on the number of pairwise means above alone, so the crossings are pairwise
+    means of all values, zeros included, at known positions; the estimate is their median
+    (Hodges-Lehmann).  Without variation there is no bound.
     """
     if alternative not in ("greater", "less"):
         raise ValueError(f"unknown alternative: {alternative}")
     if not by:
         whole = df.withColumn("_all", F.lit(1))
-        return signed_rank(whole, column, mu, alternative, conf, ["_all"], grid, low, high, exact, exact_below).drop("_all")
-    hist = grid_histogram(df, column, by, grid, low, high)
-    return signed_rank_of_counts(hist, mu, alternative, conf, by, grid, low, high, exact, exact_below)
+        return signed_rank(whole, column, mu, alternative, conf, ["_all"], exact, exact_below).drop("_all")
+    return signed_rank_of_values(materialize(value_counts(df, column, by)), mu, alternative, conf, by, exact, exact_below)
 
 
-def signed_rank_of_counts(
-    hist: DataFrame, mu: float, alternative: str, conf: float, by: list[str], grid: float, low: float, high: float,
-    exact: bool | None = None, exact_below: int = 50,
+def signed_rank_of_values(
+    counts: DataFrame, mu: float, alternative: str, conf: float, by: list[str], exact: bool | None = None, exact_below: int = 50
 ) -> DataFrame:
-    """The test from counts ``n`` per group and grid slot, as of :func:`grid_histogram`.
+    """The test from distinct values ``x`` and counts ``n``, as of :func:`~.ranks.value_counts`, in groups of any size.
 
-    Ranks, products and sums of counts are doubles, so they don't overflow.
+    Mid-ranks are running sums over the sizes of the differences; pairwise means are selected by
+    counting, see :func:`~.ranks.pairwise_means_at`.
     """
-    slots = int(round((high - low) / grid)) + 1
-    centre = (mu - low) / grid
-    hist = hist.withColumn("n", F.col("n").cast("double"))
-    d = F.round(F.col("slot") - F.lit(centre), 9)
-
-    # Mid-ranks: at most one row per slot and group.
-    sizes = hist.where(d != 0).groupBy(*by, F.abs(d).alias("_size")).agg(
+    d = F.col("x") - F.lit(float(mu))
+    sizes = counts.where(d != 0).groupBy(*by, F.abs(d).alias("_size")).agg(
         F.sum("n").alias("_ties"), F.sum(F.when(d > 0, F.col("n")).otherwise(0.0)).alias("_positive")
     )
-    upto = W.partitionBy(*by).orderBy("_size").rowsBetween(W.unboundedPreceding, W.currentRow)
     rank = F.col("_cum") - F.col("_ties") + (F.col("_ties") + 1) / 2.0
-    ranked = sizes.withColumn("_cum", F.sum("_ties").over(upto)).groupBy(*by).agg(
-        F.sum("_ties").alias("n"),
-        F.sum(F.col("_positive") * rank).alias("v"),
-        F.sum(F.pow(F.col("_ties"), 3) - F.col("_ties")).alias("tie_sum"),
+    ranked = running_sum(sizes, by, "_size", "_ties", "_cum").groupBy(*by).agg(
+        F.sum("_ties").alias("n"), F.sum(F.col("_positive") * rank).alias("v"), F.sum(F.pow(F.col("_ties"), 3) - F.col("_ties")).alias("tie_sum")
     )
-    counts = hist.groupBy(*by).agg(
-        F.map_from_entries(F.collect_list(F.struct("slot", "n"))).alias("_count"),
-        F.sum(F.when(d == 0, F.col("n")).otherwise(0.0)).alias("zeros"),
+    whole = counts.groupBy(*by).agg(
+        F.sum("n").alias("_weight"), F.sum(F.when(d == 0, F.col("n")).otherwise(0.0)).alias("zeros"),
+        F.sum(F.pow(F.col("n"), 3) - F.col("n")).alias("_same"),
+        F.min(F.struct("x", "n")).alias("_first"), F.max(F.struct("x", "n")).alias("_last"),
     )
-    joined = counts.join(ranked, by, "left").fillna(0.0, subset=["n", "v", "tie_sum"])
-
-    n, v = F.col("n"), F.col("v")
-    mean = n * (n + 1) / 4.0
-    sd = F.sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - F.col("tie_sum") / 48.0)
-    shift = 0.5 if alternative == "greater" else -0.5
-    joined = joined.withColumns(
-        {"exact": (F.col("tie_sum") == 0) & (F.col("zeros") == 0) & _exact_size(n, exact, exact_below), "_mean": mean, "_sd": sd}
-    ).withColumn("z", F.try_divide(v - F.col("_mean") - shift, F.col("_sd")))
-    joined = joined.withColumn("_null", F.when(F.col("exact"), signed_rank_counts(n)))
-
-    def null_share(keep) -> Column:
-        kept = F.aggregate(
-            F.transform(F.col("_null"), lambda c, s: F.when(keep(s), c).otherwise(0.0)),
-            F.lit(0.0), lambda a, x: a + x,
-        )
-        return kept / F.pow(F.lit(2.0), n)
-
-    if alternative == "greater":
-        exact_p, normal_p = null_share(lambda s: s >= v), normal_upper_tail(F.col("z"))
-    else:
-        exact_p, normal_p = null_share(lambda s: s <= v), normal_upper_tail(-F.col("z"))
-    joined = joined.withColumn("p_value", F.when(F.col("exact"), exact_p).otherwise(normal_p))
-
-    # Pairwise means per sum of two slots, from the counts of the non-zero differences.
-    at_mu = int(round(centre)) if abs(centre - round(centre)) < 1e-9 else -1
-
-    def kept(i: Column) -> Column:
-        return F.when(i != at_mu, F.coalesce(F.try_element_at(F.col("_count"), i), F.lit(0.0))).otherwise(0.0)
+    joined = join_per_key(whole, ranked, by, "left").fillna(0.0, subset=["n", "v", "tie_sum"])
+    n, greater = F.col("n"), alternative == "greater"
+    shift = 0.5 if greater else -0.5
 
-    joined = joined.withColumn("_h", F.transform(F.sequence(F.lit(0), F.lit(slots - 1)), kept))
+    def spread(count: Column, ties: Column) -> Column:
+        return F.sqrt(count * (count + 1) * (2 * count + 1) / 24.0 - ties / 48.0)
 
-    def pairs(s: Column) -> Column:
-        def add(total: Column, i: Column) -> Column:
-            a, b = F.element_at(F.col("_h"), i + 1), F.element_at(F.col("_h"), s - i + 1)
-            return total + F.when(i * 2 == s, a * (a + 1) / 2).otherwise(a * b)
-
-        first = F.greatest(F.lit(0), s - (slots - 1))
-        return F.aggregate(F.sequence(first, F.floor(s / 2).cast("int")), F.lit(0.0), add)
-
-    joined = joined.withColumn("_w", F.transform(F.sequence(F.lit(0), F.lit(2 * slots - 2)), pairs))
+    joined = joined.withColumns({
+        "exact": (F.col("tie_sum") == 0) & (F.col("zeros") == 0) & _exact_size(n, exact, exact_below),
+        "z": F.try_divide(F.col("v") - n * (n + 1) / 4.0 - shift, spread(n, F.col("tie_sum"))),
+    })
+    joined = joined.withColumn("_null", F.when(F.col("exact"), signed_rank_counts(n)))
+    joined = joined.withColumn("p_value", F.when(F.col("exact"), _exact_tail(n, F.col("v"), greater)).otherwise(normal_upper_tail(F.col("z") if greater else -F.col("z"))))
+
+    pairs = F.col("_weight") * (F.col("_weight") + 1) / 2
+    critical = _normal_quantile(1 - conf) * (1 if greater else -1)
+    # Pairwise means that must lie above the bound, so that the statistic there reaches its critical value.
+    above = F.ceil(pairs / 2 + shift + critical * spread(F.col("_weight"), F.col("_same"))).cast("double")
+    reach = _exact_reach(n, 1 - conf)
+    exact_k = reach if greater else pairs + 1 - reach
+    k = F.greatest(F.lit(1.0), F.least(pairs, F.when(F.col("exact"), exact_k).otherwise(pairs + 1 - above)))
+    joined = joined.withColumn("ks", F.array(F.floor((pairs + 1) / 2).cast("double"), F.ceil((pairs + 1) / 2).cast("double"), k.cast("double")))
+    joined = pairwise_means_at(counts, joined, by)
+
+    # At the smallest value (or the largest) the statistic may still be short of its critical value.
+    def at_end(end: str) -> Column:
+        rest = F.col("_weight") - F.col(f"{end}.n")
+        ties = F.col("_same") - (F.pow(F.col(f"{end}.n"), 3) - F.col(f"{end}.n"))
+        sign = 1 if end == "_first" else -1
+        return F.try_divide(sign * rest * (rest + 1) / 4 - shift, spread(rest, ties))
+
+    lowest, highest = at_end("_first"), at_end("_last")
+    bound = (
+        F.when(F.col("exact"), F.col("means")[2])
+        .when(F.col("_first.x") == F.col("_last.x"), F.lit(None))
+        .when(lowest <= critical, F.col("_first.x")).when(highest >= critical, F.col("_last.x"))
+        .otherwise(F.col("means")[2])
+    )
+    infinity = F.lit(float("inf"))
+    joined = joined.withColumns({
+        "estimate": (F.col("means")[0] + F.col("means")[1]) / 2,
+        "ci_low": bound if greater else -infinity,
+        "ci_high": infinity if greater else bound,
+    })
+    counted = [F.col(c).cast("long").alias(c) for c in ("n", "zeros")]
+    return joined.select(*by, *counted, "v", "tie_sum", "z", "p_value", "estimate", "ci_low", "ci_high")
 
-    def order_statistic(k: Column) -> Column:
-        """Pairwise mean at position k of the sorted pairwise means."""
-        start = F.struct(F.lit(0.0).alias("seen"), F.lit(None).cast("int").alias("at"), F.lit(0).alias("i"))
 
-        def walk(state: Column, w: Column) -> Column:
-            seen = state["seen"] + w
-            found = F.when(state["at"].isNotNull(), state["at"]).when(seen >= k, state["i"])
-            return F.struct(seen.alias("seen"), found.alias("at"), (state["i"] + 1).alias("i"))
+def _exact_tail(n: Column, v: Column, upper: bool) -> Column:
+    """Share of the exact null distribution, counted in ``_null``, at or beyond ``v``."""
+    beyond = lambda c, s: F.when(s >= v if upper else s <= v, c).otherwise(0.0)
+    return F.aggregate(F.transform(F.col("_null"), beyond), F.lit(0.0), lambda a, x: a + x) / F.pow(F.lit(2.0), n)
 
-        return low + grid / 2 * F.aggregate(F.col("_w"), start, walk, lambda s: s["at"])
 
-    total = n * (n + 1) / 2
-    tail = 1 - conf
-    z_tail = _normal_quantile(tail)
-    # Exact: smallest sum whose lower tail reaches the level.
-    reach = F.aggregate(
+def _exact_reach(n: Column, tail: float) -> Column:
+    """Smallest sum whose lower tail in ``_null`` reaches the level."""
+    return F.aggregate(
         F.col("_null"),
         F.struct(F.lit(0.0).alias("cum"), F.lit(0).alias("below")),
         lambda s, c: F.struct(
@@ -360,23 +336,6 @@ def signed_rank_of_counts(
         ),
         lambda s: s["below"],
     )
-    normal_k = F.floor(F.col("_mean") - z_tail * F.col("_sd"))
-    k = F.greatest(F.lit(1), F.when(F.col("exact"), reach).otherwise(normal_k))
-    joined = joined.withColumn("_k", k if alternative == "greater" else total + 1 - k)
-    middle = (
-        order_statistic(F.floor((total + 1) / 2)) + order_statistic(F.ceil((total + 1) / 2))
-    ) / 2
-    bound = order_statistic(F.col("_k"))
-    infinity = F.lit(float("inf"))
-    joined = joined.withColumns(
-        {
-            "estimate": middle,
-            "ci_low": bound if alternative == "greater" else -infinity,
-            "ci_high": infinity if alternative == "greater" else bound,
-        }
-    )
-    counted = [F.col(c).cast("long").alias(c) for c in ("n", "zeros")]
-    return joined.select(*by, *counted, "v", "tie_sum", "z", "p_value", "estimate", "ci_low", "ci_high")
 
 
 def _exact_size(n: Column, exact: bool | None, below: int) -> Column:
