@@ -30,7 +30,7 @@ def d1(spark, d):
     "D1_block_metrics_percent",
     """
     SELECT event_id, unique_id, phase, block, MAX(criterion) OVER w AS criterion,
-      round_even(AVG(duration) OVER w, 0) AS duration, round_even(AVG(accurate) OVER w * 100, 0) AS blockAcc
+      round_even(SUM(CAST(duration AS DECIMAL(28, 9))) OVER w / COUNT(*) OVER w, 0) AS duration, round_even(AVG(accurate) OVER w * 100, 0) AS blockAcc
     FROM trials WINDOW w AS (PARTITION BY unique_id, phase, is_test, block)
     """,
 )
@@ -71,7 +71,7 @@ def d3(spark, d):
 @query(
     "D4_mean_losses",
     """
-    SELECT event_id, unique_id, phase, round_even(AVG(pointLoss) OVER w, 0) AS meanLosses
+    SELECT event_id, unique_id, phase, round_even(SUM(CAST(pointLoss AS DECIMAL(28, 9))) OVER w / COUNT(*) OVER w, 0) AS meanLosses
     FROM trials WINDOW w AS (PARTITION BY unique_id, phase, is_test)
     """,
 )

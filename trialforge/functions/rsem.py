@@ -41,6 +41,40 @@ def strict_mean(x: str | Column, na_rm: bool = False) -> Column:
     return _strict(F.avg(col(x)), col(x), na_rm)
 
 
+#: Doubles are summed exactly at this scale, as decimals, up to MOST_EXACT in size.
+EXACT_SCALE = 9
+MOST_EXACT = 1e18
+
+
+def exact_parts(x: str | Column, name: str) -> dict[str, Column]:
+    """Aggregates for :func:`half_even_ratio`: the exact sum of a column and what can't be summed exactly.
+
+    A sum of doubles depends on the order of its rows, so a mean that is a half in one run may miss it in
+    another.  Sums of decimals don't.  Values beyond 1e18, infinite and NaN go to a plain sum.
+    """
+    x = col(x).cast("double")
+    fits = F.coalesce(F.abs(x) < MOST_EXACT, F.lit(True))  # NaN sorts above all numbers
+    decimal = F.when(fits, x).cast(f"decimal(28,{EXACT_SCALE})")
+    return {name: F.sum(decimal), f"{name}_rest": F.sum(F.when(~fits, x))}
+
+
+def half_even_ratio(total: Column, rest: Column, n: Column) -> Column:
+    """``total / n`` rounded half to even, by whole division and its remainder; ``rest`` as of :func:`exact_parts`."""
+    n = n.cast("decimal(20,0)")
+    whole = F.call_function("div", total, n)
+    twice = F.abs(total % n) * 2
+    up = (twice > n) | ((twice == n) & (whole % 2 != 0))
+    exact = (whole + F.when(up, F.signum(total).cast("long")).otherwise(F.lit(0).cast("long"))).cast("double")
+    plain = half_even((F.coalesce(total.cast("double"), F.lit(0.0)) + rest) / n.cast("double"))
+    return F.when(rest.isNull(), exact).otherwise(plain)
+
+
+def half_even_mean(x: str | Column) -> Column:
+    """Mean rounded half to even, the same for every order of the rows; null as soon as one input is null."""
+    total, rest = exact_parts(x, "s").values()
+    return F.when(F.count(F.lit(1)) == F.count(col(x)), half_even_ratio(total, rest, F.count(F.lit(1))))
+
+
 def strict_sum(x: str | Column, na_rm: bool = False) -> Column:
     return _strict(F.sum(col(x)), col(x), na_rm)
 

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.rsem import (
     FAILED,
     PASSED,
+    exact_parts,
     half_even,
+    half_even_mean,
+    half_even_ratio,
     if_else,
     is_in,
     pass_label,
@@ -75,11 +78,11 @@ def block_metrics(
     as_percent: bool = False, round_duration: bool = False,
 ) -> DataFrame:
     """Per block: best criterion, mean duration and accuracy."""
-    duration, accuracy = strict_mean("duration"), strict_mean(hit)
+    accuracy = strict_mean(hit)
     return with_group_stats(
         df, keys,
         criterion=strict_max("criterion"),
-        duration=half_even(duration) if round_duration else duration,
+        duration=half_even_mean("duration") if round_duration else strict_mean("duration"),
         blockAcc=percent(accuracy) if as_percent else accuracy,
     )
 
@@ -107,7 +110,7 @@ def block_and_phase_metrics(
     partial = {
         "_n": F.count(F.lit(1)), "_known": F.count(hit), "_hits": F.sum(hit),
         "_criteria": F.count("criterion"), "_best": F.max("criterion"),
-        "_timed": F.count("duration"), "_time": F.sum("duration"),
+        "_timed": F.count("duration"), **(exact_parts("duration", "_time") if round_duration else {"_time": F.sum("duration")}),
     }
     n, phase = F.col("_n"), W.partitionBy(*phase_keys)
 
@@ -116,14 +119,14 @@ def block_and_phase_metrics(
 
     block_accuracy = whole(F.col("_known"), n, F.col("_hits") / n)
     block_accuracy = percent(block_accuracy) if as_percent else block_accuracy
-    duration = whole(F.col("_timed"), n, F.col("_time") / n)
+    duration = whole(F.col("_timed"), n, half_even_ratio(F.col("_time"), F.col("_time_rest"), n) if round_duration else F.col("_time") / n)
     trials = F.sum("_n").over(phase)
     accuracy = whole(F.sum("_known").over(phase), trials, F.sum("_hits").over(phase) / trials)
     all_blocks = F.count(block_accuracy).over(phase) == F.count(F.lit(1)).over(phase)
     return with_rolled_stats(
         df, keys, partial,
         criterion=whole(F.col("_criteria"), n, F.col("_best")),
-        duration=half_even(duration) if round_duration else duration,
+        duration=duration,
         blockAcc=block_accuracy,
         accuracy=percent(accuracy) if as_percent else accuracy,
         **{"pass": pass_label(F.when(all_blocks, F.max(block_accuracy).over(phase)) >= threshold)},
@@ -145,7 +148,7 @@ def suboptimal_rate(df: DataFrame, keys: list[str] = PHASE_KEYS, denom: int = 60
 
 
 def mean_losses(df: DataFrame, keys: list[str] = PHASE_KEYS) -> DataFrame:
-    return with_group_stats(df, keys, meanLosses=half_even(strict_mean("pointLoss")))
+    return with_group_stats(df, keys, meanLosses=half_even_mean("pointLoss"))
 
 
 def grand_stats(

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.rsem import half_even, percent
+from ..functions.rsem import exact_parts, half_even_ratio, percent
 from ..operators.choices import choice_matrix_test, derived_shares
 from ..operators.cohort import Key, P, key_list
 from ..operators.metrics import pass_by_phase, suboptimal
@@ -43,7 +43,7 @@ def phase_overview(
         F.count("criterion").alias("_n_criterion"),
         F.max("criterion").alias("_criterion"),
         F.count("pointLoss").alias("_n_loss"),
-        F.sum("pointLoss").alias("_loss"),
+        *[c.alias(k) for k, c in exact_parts("pointLoss", "_loss").items()],
         suboptimal("pointGap", 1).alias("_point_gap"),
         suboptimal("bubbleGap", 1).alias("_bubble_gap"),
     )
@@ -61,7 +61,7 @@ def phase_overview(
         whole("_n_criterion", F.max("_criterion").over(w)).alias("maxCriterion"),
         (F.sum("_point_gap").over(w) / test_trials).alias("countPointGap"),
         (F.sum("_bubble_gap").over(w) / test_trials).alias("countBubbleGap"),
-        half_even(whole("_n_loss", F.sum("_loss").over(w) / n)).alias("meanLosses"),
+        whole("_n_loss", half_even_ratio(F.sum("_loss").over(w), F.sum("_loss_rest").over(w), n)).alias("meanLosses"),
     )
     label = pass_by_phase(
         F.col("phase"), F.col("maxCriterion"), F.col("accuracy"), training, test, min_criterion, min_accuracy

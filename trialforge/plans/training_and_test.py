@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.rsem import PASSED, half_even, pass_label, percent
+from ..functions.rsem import PASSED, exact_parts, half_even_ratio, pass_label, percent
 from ..operators.cohort import Key, P, keep_phases, key_list
 from ..operators.metrics import grand_stats, proportion_passing
 from ..operators.reshape import pivot_metrics, total_trials
@@ -36,7 +36,7 @@ def base_metrics(
         F.count("criterion").alias("_n_criterion"),
         F.max("criterion").alias("_criterion"),
         F.count("duration").alias("_n_duration"),
-        F.sum("duration").alias("_duration"),
+        *[c.alias(k) for k, c in (exact_parts("duration", "_duration") if round_duration else {"_duration": F.sum("duration")}).items()],
     )
     part = materialize(part)
     # One row per passthrough combination of a block.
@@ -46,12 +46,13 @@ def base_metrics(
     def whole(count: str, value):
         return F.when(F.sum(count).over(w) == n, value)
 
-    duration = whole("_n_duration", F.sum("_duration").over(w) / n)
+    total = F.sum("_duration").over(w)
+    duration = whole("_n_duration", half_even_ratio(total, F.sum("_duration_rest").over(w), n) if round_duration else total / n)
     blocks = part.select(
         *block_keys, *passthrough,
         whole("_n_criterion", F.max("_criterion").over(w)).alias("criterion"),
         whole("_n_correct", F.sum("_correct").over(w) / n).alias("blockAcc"),
-        (half_even(duration) if round_duration else duration).alias("duration"),
+        duration.alias("duration"),
         "_n", "_n_correct", "_correct",
     )
     complete = F.sum("_n") == F.sum("_n_correct")
