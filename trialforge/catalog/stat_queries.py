@@ -313,3 +313,70 @@ def l7(spark, d):
 def l8(spark, d):
     passed = tests(spark, d).where("accuracy >= 66")
     return rounded(stats.t_test_one(passed, "accuracy", 68, by=_BY), *_L1)
+
+
+# --- a block of tests -------------------------------------------------------
+
+_TRAIN_ACC, _TEST_ACC = "accuracy_CfuncMixed", "accuracy_CfuncTest"
+_POINTS, _BUBBLES = "countPointGap_CfuncTest", "countBubbleGap_CfuncTest"
+# name, column, subtracted column, condition, mu, alternative
+_ONE_SAMPLE = [
+    row
+    for k in range(1, 6)
+    for row in (
+        (f"training {k}", _TRAIN_ACC, None, f"experiment_no = {k}", 40.0, "greater"),
+        (f"test {k}", _TEST_ACC, None, f"experiment_no = {k}", 50.0, "greater"),
+        (f"test below {k}", _TEST_ACC, None, f"experiment_no = {k}", 70.0, "less"),
+        (f"test of better half {k}", _TEST_ACC, None, f"experiment_no = {k} AND {_TEST_ACC} >= 55", 58.0, "greater"),
+        (f"gaps {k}", _POINTS, _BUBBLES, f"experiment_no = {k}", 0.0, "two.sided"),
+    )
+]
+# name, samples as SQL, test
+_TWO_SAMPLE = [
+    ("gender", (f"CASE WHEN gender = 'female' THEN {_TEST_ACC} END", f"CASE WHEN gender = 'male' THEN {_TEST_ACC} END"),
+     {"column": _TEST_ACC, "group": "gender", "labels": ("female", "male")}),
+    ("gaps unpaired", (_POINTS, _BUBBLES), {"column": _POINTS, "other": _BUBBLES}),
+    ("experiments", (f"CASE WHEN experiment_no = 1 THEN {_TRAIN_ACC} END", f"CASE WHEN experiment_no = 2 THEN {_TRAIN_ACC} END"),
+     {"column": _TRAIN_ACC, "group": "experiment_no", "labels": (1, 2)}),
+]
+
+
+def _plan_sql() -> str:
+    one = [
+        f"""SELECT '{name}' AS test, '{alternative}' AS alternative, 0.9 AS conf, {mu} AS mu, COUNT(x) AS n, AVG(x) AS mean, STDDEV_SAMP(x) AS sd,
+              NULL::BIGINT AS n2, NULL::DOUBLE AS mean2, NULL::DOUBLE AS sd2
+            FROM (SELECT {column}{" - " + minus if minus else ""} AS x FROM overview WHERE {condition})"""
+        for name, column, minus, condition, mu, alternative in _ONE_SAMPLE
+    ]
+    two = [
+        f"""SELECT '{name}', 'two.sided', 0.95, 0, COUNT(a), AVG(a), STDDEV_SAMP(a), COUNT(b), AVG(b), STDDEV_SAMP(b)
+            FROM (SELECT {a} AS a, {b} AS b FROM overview)"""
+        for name, (a, b), _ in _TWO_SAMPLE
+    ]
+    return f"""{OVERVIEW},
+    mo AS ({" UNION ALL ".join([*one, *two])}),
+    ve AS (SELECT *, sd * sd / n AS v1, sd2 * sd2 / n2 AS v2, mean - coalesce(mean2, 0) AS centre, coalesce(n * n2 / (n + n2), n) AS neff,
+             coalesce(n + n2 - 2, n - 1) AS bdf, sqrt(((n - 1) * sd * sd + coalesce((n2 - 1) * sd2 * sd2, 0)) / coalesce(n + n2 - 2, n - 1)) AS pooled FROM mo),
+    te AS (SELECT *, (centre - mu) / SQRT(v1 + coalesce(v2, 0)) AS t, (centre - mu) / (pooled / SQRT(neff)) AS bt,
+             coalesce(POW(v1 + v2, 2) / (v1 * v1 / (n - 1) + v2 * v2 / (n2 - 1)), n - 1)::DOUBLE AS df FROM ve),
+    {quantile_cte("te", "test || '/' || alternative", "(CASE WHEN k LIKE '%/two.sided' THEN CASE WHEN k LIKE 'gaps _/%' THEN 0.05 ELSE 0.025 END ELSE 0.1 END)")}
+    SELECT test, n, ROUND(mean, 6) AS mean, ROUND(sd, 6) AS sd, n2, ROUND(mean2, 6) AS mean2, ROUND(sd2, 6) AS sd2, ROUND(t, 6) AS t, ROUND(df, 6) AS df,
+      ROUND(CASE alternative WHEN 'greater' THEN {t_tail_sql("t", "df")} WHEN 'less' THEN {t_tail_sql("(-t)", "df")}
+                 ELSE 2 * ({t_tail_sql("ABS(t)", "df")}) END, 6) AS p_value,
+      CASE WHEN alternative = 'less' THEN '-Infinity'::DOUBLE ELSE ROUND(centre - q * SQRT(v1 + coalesce(v2, 0)), 6) END AS ci_low,
+      CASE WHEN alternative = 'greater' THEN 'Infinity'::DOUBLE ELSE ROUND(centre + q * SQRT(v1 + coalesce(v2, 0)), 6) END AS ci_high,
+      ROUND(bt, 6) AS bf_t, ROUND({bayes_sql("bt", "neff", "bdf")}, 6) AS log_bf10
+    FROM te JOIN qu ON k = test || '/' || alternative
+    """
+
+
+@query("L8_test_plan", _plan_sql())
+def l8_plan(spark, d):
+    """28 t tests with their Bayes factors from one aggregate over one scan of the participants."""
+    tests_ = [
+        stats.Test(name, column, minus=minus, where=F.expr(condition), mu=mu, alternative=alternative)
+        for name, column, minus, condition, mu, alternative in _ONE_SAMPLE
+    ]
+    tests_ += [stats.Test(name, alternative="two.sided", conf=0.95, **test) for name, _, test in _TWO_SAMPLE]
+    out = stats.run_tests(overview(spark, d), tests_).drop("bf10")
+    return rounded(out, *[c for c, kind in out.dtypes if kind == "double"])

@@ -18,14 +18,20 @@ MOST_STEPS = 200  # a search ends when it has converged; halving an interval alo
 BAYES_GRID = (-12.0, 25.0, 401)  # log g from, to, points
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed a single time, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _simpson(density: Callable[[Column], Column], lower: Column, upper: Column) -> Column:
-    h = (upper - lower) / INTERVALS
+    def area(grid: Column) -> Column:
+        def step(total: Column, i: Column) -> Column:
+            weight = F.when((i == 0) | (i == INTERVALS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
+            return total + weight * density(grid["lower"] + i * grid["h"])
 
-    def step(total: Column, i: Column) -> Column:
-        weight = F.when((i == 0) | (i == INTERVALS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
-        return total + weight * density(lower + i * h)
+        return F.aggregate(F.sequence(F.lit(0), F.lit(INTERVALS)), F.lit(0.0), step) * grid["h"] / 3
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(INTERVALS)), F.lit(0.0), step) * h / 3
+    return once(F.struct(lower.alias("lower"), ((upper - lower) / INTERVALS).alias("h")), area)
 
 
 def _t_kernel(df: Column) -> Callable[[Column], Column]:
@@ -49,7 +55,7 @@ def t_upper_tail(t: Column, df: Column) -> Column:
     return F.when(t >= 0, tail).otherwise(1 - tail)
 
 
-def t_quantile(upper: float, df: Column) -> Column:
+def t_quantile(upper: float | Column, df: Column) -> Column:
     """The t value with the given upper tail, which must be below one half.
 
     Newton steps on the logarithm of the tail, kept inside an interval that holds the root; a
@@ -57,30 +63,33 @@ def t_quantile(upper: float, df: Column) -> Column:
     the angle by less than its precision, so its length follows the distance to the root.
     """
     df = df.cast("double")
-    target = F.log(F.lit(2.0 * upper)) + F.log(_t_angle_tail(F.lit(0.0), df))
-    state = {"low": F.lit(0.0), "high": F.lit(math.pi / 2), "at": F.lit(0.0), "done": F.lit(False)}
+    upper = F.lit(upper) if isinstance(upper, float) else upper
+    kernel = _t_kernel(df)
 
-    def named(values: dict[str, Column]) -> Column:
+    def named(**values: Column) -> Column:
         return F.struct(*[v.alias(k) for k, v in values.items()])
 
-    def evaluated(s: Column) -> Column:
-        return F.struct(s.alias("s"), _t_angle_tail(s["at"], df).alias("tail"))
+    def compared(s: Column, tail: Column) -> Column:
+        """Excess of the tail at the current angle, and the angle that a Newton step leads to."""
+        excess = F.log(tail) - s["target"]
+        return once(excess, lambda e: named(s=s, excess=e, newton=s["at"] + tail / kernel(s["at"]) * e))
+
+    def bounded(e: Column) -> Column:
+        s, over = e["s"], e["excess"] > 0
+        return named(s=s, excess=e["excess"], newton=e["newton"], low=F.when(over, s["at"]).otherwise(s["low"]), high=F.when(over, s["high"]).otherwise(s["at"]))
 
     def moved(e: Column) -> Column:
-        s, tail = e["s"], e["tail"]
-        excess = F.log(tail) - target
-        low, high = F.when(excess > 0, s["at"]).otherwise(s["low"]), F.when(excess > 0, s["high"]).otherwise(s["at"])
-        newton = s["at"] + tail / _t_kernel(df)(s["at"]) * excess
-        inside = (newton > low) & (newton < high)
-        new = F.when(inside, newton).otherwise((low + high) / 2)
-        done = (F.abs(new - s["at"]) <= 1e-15 * new) | (excess == 0)
-        return named({"low": low, "high": high, "at": F.when(excess == 0, s["at"]).otherwise(new), "done": done})
+        new = F.when((e["newton"] > e["low"]) & (e["newton"] < e["high"]), e["newton"]).otherwise((e["low"] + e["high"]) / 2)
+        new = F.when(e["excess"] == 0, e["s"]["at"]).otherwise(new)
+        return once(new, lambda at: named(target=e["s"]["target"], low=e["low"], high=e["high"], at=at, done=(F.abs(at - e["s"]["at"]) <= 1e-15 * at)))
 
     def step(s: Column, _: Column) -> Column:
-        # An array of one, so that the tail is computed once for all the places that use it.
-        return F.when(s["done"], s).otherwise(F.element_at(F.transform(F.array(evaluated(s)), moved), 1))
+        here = once(_t_angle_tail(s["at"], df), lambda tail: compared(s, tail))
+        return F.when(s["done"], s).otherwise(once(once(here, bounded), moved))
 
-    angle = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_STEPS)), named(state), step, lambda s: s["at"])
+    target = F.log(2.0 * upper) + F.log(_t_angle_tail(F.lit(0.0), df))
+    start = named(target=target, low=F.lit(0.0), high=F.lit(math.pi / 2), at=F.lit(0.0), done=F.lit(False))
+    angle = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_STEPS)), start, step, lambda s: s["at"])
     return F.sqrt(df) * F.tan(angle)
 
 
@@ -91,7 +100,7 @@ def normal_upper_tail(z: Column) -> Column:
     return F.when(z >= 0, tail).otherwise(1 - tail)
 
 
-def log_bayes_factor(t: Column, n: Column, df: Column, r: float) -> Column:
+def log_bayes_factor(t: Column, n: Column, df: Column, r: float | Column) -> Column:
     """Natural log of the JZS Bayes factor (alternative over null) of a t statistic.
 
     ``n`` is the effective sample size and ``r`` the scale of the Cauchy prior on the

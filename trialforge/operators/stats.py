@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -72,54 +73,111 @@ def half_width(column: str, z: float = Z_ONE_SIDED_95) -> Column:
     return F.lit(z) * strict_sd(column) / F.sqrt(F.count(F.lit(1)))
 
 
-# --- t tests ----------------------------------------------------------------
+# --- t tests and Bayes factors ----------------------------------------------
 
 
-def group_moments(df: DataFrame, columns: list[str], by: list[str] = []) -> DataFrame:
-    """n, mean and sd of several columns in one aggregate, one row per group and column."""
-    aggs = [
-        F.struct(
-            F.lit(c).alias("variable"),
-            F.count(c).alias("n"),
-            F.avg(c).alias("mean"),
-            F.stddev_samp(c).alias("sd"),
-        ).alias(f"_m{i}")
-        for i, c in enumerate(columns)
-    ]
-    wide = df.groupBy(*by).agg(*aggs)
-    return wide.select(*by, F.inline(F.array(*[f"_m{i}" for i in range(len(columns))])))
+@dataclass(frozen=True)
+class Test:
+    """One test of a plan; its t test and its Bayes factor come from the same moments.
 
+    * ``column`` alone, or less ``minus`` row by row: one sample against ``mu``.
+    * ``column`` against the column ``other``, or with ``group`` the rows labelled ``labels[0]``
+      against those labelled ``labels[1]``: two samples, whose difference is tested against ``mu``.
 
-def _as_list(columns: str | list[str]) -> list[str]:
-    return [columns] if isinstance(columns, str) else list(columns)
-
+    ``where`` restricts the rows.  Missing values are left out.
+    """
 
-def _test_columns(
-    df: DataFrame, t: Column, dof: Column, centre: Column, se: Column, alternative: str, conf: float
-) -> DataFrame:
-    """Adds t, df, p_value, ci_low and ci_high."""
-    df = df.withColumns({"t": t, "df": dof.cast("double"), "_centre": centre, "_se": se})
-    # A second projection, so that t and df are computed once.
-    upper = t_upper_tail(F.col("t"), F.col("df"))
-    q = t_quantile((1 - conf) / (2 if alternative == "two.sided" else 1), F.col("df"))
-    low, high = F.col("_centre") - q * F.col("_se"), F.col("_centre") + q * F.col("_se")
+    name: str
+    column: str
+    minus: str | None = None
+    other: str | None = None
+    group: str | None = None
+    labels: tuple = ()
+    where: Column | None = None
+    mu: float = 0.0
+    alternative: str = "greater"
+    conf: float = 0.9
+    r: float = MEDIUM_PRIOR
+
+    def samples(self) -> list[Column]:
+        if self.alternative not in ("greater", "less", "two.sided"):
+            raise ValueError(f"unknown alternative: {self.alternative}")
+        x = F.col(self.column)
+        if self.minus:
+            pair = [x - F.col(self.minus)]
+        elif self.group:
+            pair = [F.when(F.col(self.group) == F.lit(label), x) for label in self.labels]
+        else:
+            pair = [x] if self.other is None else [x, F.col(self.other)]
+        return pair if self.where is None else [F.when(self.where, c) for c in pair]
+
+
+def run_tests(df: DataFrame, tests: list[Test], by: list[str] = []) -> DataFrame:
+    """All ``tests`` in every group from one aggregate over one scan; a row for each test and group.
+
+    Each distinct sample (column, pair or label under a condition) is aggregated once, combined
+    on the map side; tails, quantiles and integrals are computed on one row for each test.
+    Returns ``test``, ``n``, ``mean`` and ``sd`` of the first sample (``n2``, ``mean2``, ``sd2`` of the second, else
+    null), ``t``, ``df`` (Welch's for two samples), ``p_value``, ``ci_low``, ``ci_high`` of the tested mean or
+    difference, and ``bf_t``, ``log_bf10``, ``bf10`` (pooled variance for two samples).
+    """
+    aggregates: dict[str, Column] = {}
+
+    def moments(x: Column) -> str:
+        key = str(x)
+        if key not in aggregates:
+            aggregates[key] = F.struct(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd")).alias(f"_m{len(aggregates)}")
+        return f"_m{list(aggregates).index(key)}"
+
+    none = F.lit(None).cast("struct<n:bigint,mean:double,sd:double>")
+    rows = []
+    for test in tests:
+        first, *second = [F.col(moments(x)) for x in test.samples()]
+        rows.append(F.struct(
+            F.lit(test.name).alias("test"), first.alias("_a"), (second[0] if second else none).alias("_b"), F.lit(float(test.mu)).alias("_mu"),
+            F.lit(test.alternative).alias("_alternative"), F.lit(float(test.conf)).alias("_conf"), F.lit(float(test.r)).alias("_r"),
+        ))
+    wide = df.groupBy(*by).agg(*aggregates.values())
+    return _tested(wide.select(*by, F.inline(F.array(*rows))), by)
+
+
+def _tested(m: DataFrame, by: list[str]) -> DataFrame:
+    """The columns of :func:`run_tests` from one row of moments and parameters for each test."""
+    m = m.select("*", *[F.col(f"_a.{c}").alias(c) for c in ("n", "mean", "sd")], *[F.col(f"_b.{c}").alias(f"{c}2") for c in ("n", "mean", "sd")])
+    single = F.col("_b").isNull()
+    n1, n2 = F.col("n").cast("double"), F.col("n2").cast("double")  # their product outgrows a bigint
+    v1, v2 = F.col("sd") ** 2 / n1, F.col("sd2") ** 2 / n2
+    both = (n1 > 1) & (n2 > 1)
+    se = F.when(single, F.col("sd") / F.sqrt(n1)).when(both, F.sqrt(v1 + v2))
+    dof = F.when(single, n1 - 1).when(both, F.try_divide((v1 + v2) ** 2, v1**2 / (n1 - 1) + v2**2 / (n2 - 1)))
+    centre = F.when(single, F.col("mean")).otherwise(F.col("mean") - F.col("mean2"))
+    pooled_dof = n1 + n2 - 2
+    n_eff = F.when(single, n1).otherwise(F.try_divide(n1 * n2, n1 + n2))
+    pooled = F.try_divide((n1 - 1) * F.col("sd") ** 2 + (n2 - 1) * F.col("sd2") ** 2, pooled_dof)
+    bayes_se = F.when(single, F.col("sd") / F.sqrt(n1)).when(both, F.sqrt(pooled / n_eff))
+    m = m.withColumns({"df": dof, "_centre": centre, "_se": se, "_n_eff": n_eff, "_bayes_df": F.when(single, n1 - 1).otherwise(pooled_dof), "_bayes_se": bayes_se})
+    m = m.withColumns({"t": F.try_divide(F.col("_centre") - F.col("_mu"), F.col("_se")), "bf_t": F.try_divide(F.col("_centre") - F.col("_mu"), F.col("_bayes_se"))})
+
+    t, two, less = F.col("t"), F.col("_alternative") == "two.sided", F.col("_alternative") == "less"
+    testable = t.isNotNull() & ~F.isnan(t) & (F.col("df") > 0)
+    # "less" takes the tail of -t: 1 - tail loses small tails.
+    tail = t_upper_tail(F.when(less, -t).when(two, F.abs(t)).otherwise(t), F.col("df"))
+    q = t_quantile((1 - F.col("_conf")) / F.when(two, 2.0).otherwise(1.0), F.col("df"))
+    bayes = F.col("bf_t").isNotNull() & ~F.isnan("bf_t") & (F.col("_bayes_df") > 0)
+    log_bf = log_bayes_factor(F.col("bf_t"), F.col("_n_eff"), F.col("_bayes_df"), F.col("_r"))
+    m = m.withColumns({"_tail": F.when(testable, tail), "_reach": F.when(testable, q) * F.col("_se"), "log_bf10": F.when(bayes, log_bf)})
     infinity = F.lit(float("inf"))
-    if alternative == "greater":
-        p, high = upper, infinity
-    elif alternative == "less":
-        p, low = t_upper_tail(-F.col("t"), F.col("df")), -infinity  # not 1 - upper, which loses small tails
-    elif alternative == "two.sided":
-        p = 2 * t_upper_tail(F.abs(F.col("t")), F.col("df"))
-    else:
-        raise ValueError(f"unknown alternative: {alternative}")
-    testable = F.col("t").isNotNull() & ~F.isnan("t") & (F.col("df") > 0)
-    return df.withColumns(
-        {
-            "p_value": F.when(testable, p),
-            "ci_low": F.when(testable, low),
-            "ci_high": F.when(testable, high),
-        }
-    ).drop("_centre", "_se")
+    return m.select(
+        *by, "test", "n", "mean", "sd", "n2", "mean2", "sd2", "t", "df",
+        (F.col("_tail") * F.when(two, 2.0).otherwise(1.0)).alias("p_value"),
+        F.when(testable & less, -infinity).otherwise(F.col("_centre") - F.col("_reach")).alias("ci_low"),
+        F.when(testable & ~less & ~two, infinity).otherwise(F.col("_centre") + F.col("_reach")).alias("ci_high"),
+        "bf_t", "log_bf10", F.exp("log_bf10").alias("bf10"),
+    )
+
+
+def _as_list(columns: str | list[str]) -> list[str]:
+    return [columns] if isinstance(columns, str) else list(columns)
 
 
 def t_test_one(
@@ -127,37 +185,14 @@ def t_test_one(
     conf: float = 0.9, by: list[str] = [],
 ) -> DataFrame:
     """One-sample t test of every listed column in every group; missing values are left out."""
-    m = group_moments(df, _as_list(columns), by)
-    se = F.col("sd") / F.sqrt("n")
-    t = F.try_divide(F.col("mean") - F.lit(float(mu)), se)
-    out = _test_columns(m, t, F.col("n") - 1, F.col("mean"), se, alternative, conf)
+    tests = [Test(c, c, mu=mu, alternative=alternative, conf=conf) for c in _as_list(columns)]
+    out = run_tests(df, tests, by).withColumnRenamed("test", "variable")
     return out.select(*by, "variable", "n", "mean", "sd", "t", "df", "p_value", "ci_low", "ci_high")
 
 
-def _two_samples(df: DataFrame, column: str, group: str, labels: tuple, by: list[str]) -> DataFrame:
-    aggs = []
-    for i, label in enumerate(labels, start=1):
-        x = F.when(F.col(group) == F.lit(label), F.col(column))
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"mean{i}"), F.stddev_samp(x).alias(f"sd{i}")]
-    return df.groupBy(*by).agg(*aggs)
-
-
-def _two_columns(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    aggs = []
-    for i, c in enumerate((a, b), start=1):
-        aggs += [F.count(c).alias(f"n{i}"), F.avg(c).alias(f"mean{i}"), F.stddev_samp(c).alias(f"sd{i}")]
-    return df.groupBy(*by).agg(*aggs)
-
-
-def _welch(m: DataFrame, alternative: str, conf: float, by: list[str]) -> DataFrame:
-    v1, v2 = F.col("sd1") ** 2 / F.col("n1"), F.col("sd2") ** 2 / F.col("n2")
-    se = F.sqrt(v1 + v2)
-    diff = F.col("mean1") - F.col("mean2")
-    dof = F.try_divide((v1 + v2) ** 2, v1**2 / (F.col("n1") - 1) + v2**2 / (F.col("n2") - 1))
-    both = (F.col("n1") > 1) & (F.col("n2") > 1)
-    out = _test_columns(
-        m, F.when(both, F.try_divide(diff, se)), F.when(both, dof), diff, se, alternative, conf
-    )
+def _welch(df: DataFrame, test: Test, by: list[str]) -> DataFrame:
+    names = {"n": "n1", "mean": "mean1"}
+    out = run_tests(df, [test], by).withColumnsRenamed(names)
     return out.select(*by, "n1", "n2", "mean1", "mean2", "t", "df", "p_value", "ci_low", "ci_high")
 
 
@@ -166,60 +201,38 @@ def t_test_welch(
     conf: float = 0.95, by: list[str] = [],
 ) -> DataFrame:
     """Two-sample t test with unequal variances of the first label against the second."""
-    return _welch(_two_samples(df, column, group, labels, by), alternative, conf, by)
+    return _welch(df, Test("", column, group=group, labels=labels, alternative=alternative, conf=conf), by)
 
 
 def t_test_welch_columns(
     df: DataFrame, a: str, b: str, alternative: str = "two.sided", conf: float = 0.95, by: list[str] = []
 ) -> DataFrame:
     """The same test with the two samples in two columns, taken as unpaired."""
-    return _welch(_two_columns(df, a, b, by), alternative, conf, by)
-
-
-# --- Bayes factors ----------------------------------------------------------
-
-
-def _bayes_columns(df: DataFrame, t: Column, n_eff: Column, dof: Column, r: float) -> DataFrame:
-    df = df.withColumns({"t": t, "_n_eff": n_eff, "_dof": dof})
-    log_bf = F.when(
-        F.col("t").isNotNull() & ~F.isnan("t") & (F.col("_dof") > 0),
-        log_bayes_factor(F.col("t"), F.col("_n_eff"), F.col("_dof"), r),
-    )
-    df = df.withColumn("log_bf10", log_bf)
-    return df.withColumn("bf10", F.exp("log_bf10")).drop("_n_eff", "_dof")
+    return _welch(df, Test("", a, other=b, alternative=alternative, conf=conf), by)
 
 
 def bf_one_sample(
     df: DataFrame, columns: str | list[str], mu: float = 0.0, r: float = MEDIUM_PRIOR, by: list[str] = []
 ) -> DataFrame:
     """JZS Bayes factor of every listed column against ``mu`` in every group."""
-    m = group_moments(df, _as_list(columns), by)
-    t = F.try_divide(F.col("mean") - F.lit(float(mu)), F.col("sd") / F.sqrt("n"))
-    out = _bayes_columns(m, t, F.col("n"), F.col("n") - 1, r)
-    return out.select(*by, "variable", "n", "t", "bf10", "log_bf10")
+    out = run_tests(df, [Test(c, c, mu=mu, r=r) for c in _as_list(columns)], by)
+    return out.select(*by, F.col("test").alias("variable"), "n", F.col("bf_t").alias("t"), "bf10", "log_bf10")
 
 
 def bf_paired(
     df: DataFrame, a: str, b: str, mu: float = 0.0, r: float = MEDIUM_PRIOR, by: list[str] = []
 ) -> DataFrame:
     """JZS Bayes factor of the row-wise difference of two columns."""
-    rows = df.withColumn("_diff", F.col(a) - F.col(b))
-    return bf_one_sample(rows, "_diff", mu, r, by).drop("variable")
+    out = run_tests(df, [Test("", a, minus=b, mu=mu, r=r)], by)
+    return out.select(*by, "n", F.col("bf_t").alias("t"), "bf10", "log_bf10")
 
 
 def bf_two_sample(
     df: DataFrame, column: str, group: str, labels: tuple, r: float = MEDIUM_PRIOR, by: list[str] = []
 ) -> DataFrame:
     """JZS Bayes factor of two independent samples with pooled variance."""
-    m = _two_samples(df, column, group, labels, by)
-    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")  # their product outgrows a bigint
-    dof = n1 + n2 - 2
-    pooled = F.try_divide((n1 - 1) * F.col("sd1") ** 2 + (n2 - 1) * F.col("sd2") ** 2, dof)
-    n_eff = F.try_divide(n1 * n2, n1 + n2)
-    t = F.try_divide(F.col("mean1") - F.col("mean2"), F.sqrt(pooled / n_eff))
-    both = (n1 > 1) & (n2 > 1)
-    out = _bayes_columns(m, F.when(both, t), n_eff, dof, r)
-    return out.select(*by, "n1", "n2", "t", "bf10", "log_bf10")
+    out = run_tests(df, [Test("", column, group=group, labels=labels, r=r)], by)
+    return out.select(*by, F.col("n").alias("n1"), "n2", F.col("bf_t").alias("t"), "bf10", "log_bf10")
 
 
 # --- rank test --------------------------------------------------------------
