@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import metrics
+from ..operators import metrics, protocol
 from ..plans import training_and_test
 from ..sources.event_trials import CRITERION, PHASES, TEST, TRAINING, event_trials, ordered_event_trials
 from .registry import query, rounded
@@ -282,3 +283,67 @@ def n4(spark, d):
     df = event_trials(spark, d).where("phase = 'Crel'")
     df = df.withColumn("n_bubbles", 7 + 2 * (F.col("event_id") % 7))
     return metrics.set_point(df, F.col("correct") == 1)
+
+
+@query(
+    "N4_calibration_rules",
+    """
+    att AS (SELECT unique_id, trial_n AS rn, correct = 1 AS ok,
+             CASE WHEN event_id % 23 = 0 THEN 7 + 2 * (event_id % 7) ELSE 7 + 2 * LEAST(coalesce(SUM(correct) OVER (
+               PARTITION BY unique_id ORDER BY trial_n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 6) END AS level
+           FROM trials WHERE phase = 'Crel'),
+    fo AS (SELECT DISTINCT unique_id, 0::BIGINT AS rn, 0 AS step, 0 AS tries, NULL::BIGINT AS best, false AS ended, NULL::VARCHAR AS broken FROM att
+           UNION ALL
+           SELECT f.unique_id, f.rn + 1,
+             CASE WHEN a.ok AND NOT f.ended AND a.level = 7 + 2 * f.step THEN f.step + 1 ELSE f.step END,
+             CASE WHEN a.ok THEN f.tries ELSE f.tries + 1 END,
+             CASE WHEN a.ok AND NOT f.ended AND a.level = 7 + 2 * f.step THEN a.level ELSE f.best END::BIGINT,
+             CASE WHEN f.ended THEN true WHEN a.ok THEN f.step + 1 >= 7 ELSE f.step > 0 OR f.tries + 1 >= 3 END,
+             CASE WHEN f.ended THEN 'attempt after the end' WHEN a.level <> 7 + 2 * f.step THEN 'wrong level' END
+           FROM fo f JOIN att a ON a.unique_id = f.unique_id AND a.rn = f.rn + 1 WHERE f.broken IS NULL),
+    la AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY unique_id ORDER BY rn DESC) AS back FROM fo)
+    SELECT unique_id, best AS set_point, CAST(CASE WHEN broken IS NULL THEN rn ELSE rn - 1 END AS INT) AS attempts,
+      ended AND broken IS NULL AS finished, broken AS broken_rule, CAST(CASE WHEN broken IS NOT NULL THEN rn END AS INT) AS broken_at
+    FROM la WHERE back = 1
+    """,
+)
+def n4_rules(spark, d):
+    """Calibration by its rules, with three tries on the first level."""
+    trials = ordered_event_trials(spark, d).where("phase = 'Crel'")
+    before = Window.partitionBy("unique_id").orderBy("trial_n").rowsBetween(Window.unboundedPreceding, -1)
+    risen = 7 + 2 * F.least(F.coalesce(F.sum("correct").over(before), F.lit(0)), F.lit(6))
+    attempts = trials.withColumn("level", F.when(F.col("event_id") % 23 == 0, 7 + 2 * (F.col("event_id") % 7)).otherwise(risen))
+    return protocol.follow_calibration(attempts, ["unique_id"], ["trial_n"], "level", F.col("correct") == 1, first_tries=3)
+
+
+@query(
+    "N2_training_rules",
+    """
+    att AS (SELECT unique_id, phase, trial_n AS rn, correct, CASE WHEN event_id % 29 = 0 THEN block + 1 ELSE block END AS block FROM trials),
+    fo AS (SELECT DISTINCT unique_id, phase, 0::BIGINT AS rn, 0::BIGINT AS blocks, 0 AS trial, []::INT[] AS recent, NULL::BIGINT AS criterion,
+             false AS ended, NULL::VARCHAR AS broken FROM att
+           UNION ALL
+           SELECT unique_id, phase, rn + 1, CASE WHEN bad IS NULL THEN expected ELSE blocks END, next_trial, next_recent,
+             CASE WHEN bad IS NULL AND list_sum(next_recent) >= 3 THEN rn + 1 END,
+             ended OR list_sum(next_recent) >= 3 OR (expected = 3 AND next_trial = 5), bad
+           FROM (SELECT f.*, CASE WHEN f.trial = 5 OR f.blocks = 0 THEN f.blocks + 1 ELSE f.blocks END AS expected,
+                   CASE WHEN f.trial = 5 THEN 1 ELSE f.trial + 1 END AS next_trial,
+                   list_append(CASE WHEN f.trial = 5 THEN [] ELSE f.recent END, a.correct)[-4:] AS next_recent,
+                   CASE WHEN f.ended THEN 'attempt after the end'
+                        WHEN a.block <> CASE WHEN f.trial = 5 OR f.blocks = 0 THEN f.blocks + 1 ELSE f.blocks END THEN 'wrong block' END AS bad,
+                   f.criterion AS before
+                 FROM fo f JOIN att a ON a.unique_id = f.unique_id AND a.phase = f.phase AND a.rn = f.rn + 1 WHERE f.broken IS NULL)),
+    la AS (SELECT *, ROW_NUMBER() OVER w AS back, MAX(criterion) OVER (PARTITION BY unique_id, phase) AS reached
+           FROM fo WINDOW w AS (PARTITION BY unique_id, phase ORDER BY rn DESC))
+    SELECT unique_id, phase, CAST(reached AS INT) AS criterion_trial, CAST(blocks AS INT) AS blocks,
+      CAST(CASE WHEN broken IS NULL THEN rn ELSE rn - 1 END AS INT) AS attempts,
+      ended AND broken IS NULL AS finished, broken AS broken_rule, CAST(CASE WHEN broken IS NOT NULL THEN rn END AS INT) AS broken_at
+    FROM la WHERE back = 1
+    """,
+)
+def n2_rules(spark, d):
+    """Training by its rules, scaled down: three blocks of five trials, three of the last four correct."""
+    trials = ordered_event_trials(spark, d).withColumn("block", F.when(F.col("event_id") % 29 == 0, F.col("block") + 1).otherwise(F.col("block")))
+    return protocol.follow_training(
+        trials, ["unique_id", "phase"], ["trial_n"], "block", "correct", block_trials=5, most_blocks=3, window=4, needed=3
+    )

@@ -24,7 +24,7 @@ from ..functions.rsem import (
 )
 from .cohort import Key, P, has_phase_then_keep, key_list
 from .ordered import number_and_roll
-from .skew import with_group_stats, with_rolled_stats
+from .skew import join_per_key, with_group_stats, with_rolled_stats
 
 BLOCK_KEYS = [P, "phase", "is_test", "block"]
 PHASE_KEYS = [P, "phase", "is_test"]
@@ -159,19 +159,44 @@ def grand_stats(
 
     ``weight`` names a count column when each row stands for that many trial rows:
     the statistics are then those of the uncollapsed rows.
+
+    One aggregate keeps count, mean and squared deviations by weight, which Spark merges as such; the few
+    rows for each distinct weight are then merged in the same way.  So nothing is centred in a second pass,
+    and a large mean costs no digits.
     """
-    x, n = F.col(column), F.col(weight) if weight else F.lit(1)
-    size = F.sum(F.when(x.isNotNull(), n))
-    complete = F.count(F.lit(1)) == F.count(x)
-    if by:
-        centred = with_group_stats(df, list(by), **{mean: F.when(complete, F.sum(x * n) / size)})
-        squares = F.sum(n * F.pow(x - F.col(mean), 2)) / F.nullif(size - 1, F.lit(0))
-        return with_group_stats(centred, list(by), **{sd: F.when(complete & (size > 1), F.sqrt(squares))})
-    centre = df.agg(F.when(complete, F.sum(x * n) / size).alias("_m")).scalar()
-    spread = df.agg(
-        F.when(complete & (size > 1), F.sqrt(F.sum(n * F.pow(x - centre, 2)) / F.nullif(size - 1, F.lit(0)))).alias("_s")
-    ).scalar()
-    return df.withColumns({mean: centre, sd: spread})
+    x, keys = F.col(column), list(by)
+    parts = df.groupBy(*keys, (F.col(weight) if weight else F.lit(1)).cast("double").alias("_w")).agg(
+        F.count(F.lit(1)).alias("_rows"), F.count(x).alias("_n"), F.avg(x).alias("_mean"), F.var_pop(x).alias("_var")
+    )
+    # One row for each distinct weight.
+    part = F.struct((F.col("_n") * F.col("_w")).alias("n"), F.col("_mean").alias("mean"), (F.col("_n") * F.col("_w") * F.col("_var")).alias("squares"))
+    table = parts.groupBy(*keys).agg(
+        (F.sum("_rows") == F.sum("_n")).alias("_complete"),
+        F.aggregate(F.array_sort(F.collect_list(F.when(F.col("_n") * F.col("_w") > 0, part))), _no_moments(), _merged_moments).alias("_s"),
+    )
+    moments = F.struct(
+        F.when(F.col("_complete"), F.col("_s.mean")).alias("mean"),
+        F.when(F.col("_complete") & (F.col("_s.n") > 1), F.sqrt(F.col("_s.squares") / F.nullif(F.col("_s.n") - 1, F.lit(0.0)))).alias("sd"),
+    ).alias("_moments")
+    kept = df.drop(*[c for c in (mean, sd) if c in df.columns])
+    if keys:
+        joined = join_per_key(kept, table.select(*keys, moments), keys, "left")
+    else:
+        joined = kept.withColumn("_moments", table.select(moments).scalar())
+    return joined.select(*kept.columns, F.col("_moments.mean").alias(mean), F.col("_moments.sd").alias(sd))
+
+
+def _no_moments() -> Column:
+    return F.struct(F.lit(0.0).alias("n"), F.lit(None).cast("double").alias("mean"), F.lit(0.0).alias("squares"))
+
+
+def _merged_moments(a: Column, b: Column) -> Column:
+    """Count, mean and sum of squared deviations of two sets of rows together."""
+    n, delta = a["n"] + b["n"], b["mean"] - F.coalesce(a["mean"], b["mean"])
+    return F.struct(
+        n.alias("n"), (F.coalesce(a["mean"], b["mean"]) + delta * b["n"] / n).alias("mean"),
+        (a["squares"] + b["squares"] + delta * delta * a["n"] * b["n"] / n).alias("squares"),
+    )
 
 
 def phase_trial_count(df: DataFrame, key: Key = P) -> DataFrame:

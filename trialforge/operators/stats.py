@@ -112,14 +112,15 @@ class Test:
         return pair if self.where is None else [F.when(self.where, c) for c in pair]
 
 
-def run_tests(df: DataFrame, tests: list[Test], by: list[str] = []) -> DataFrame:
+def run_tests(df: DataFrame, tests: list[Test], by: list[str] = [], only: str | None = None) -> DataFrame:
     """All ``tests`` in every group from one aggregate over one scan; a row for each test and group.
 
     Each distinct sample (column, pair or label under a condition) is aggregated once, combined
     on the map side; tails, quantiles and integrals are computed on one row for each test.
     Returns ``test``, ``n``, ``mean`` and ``sd`` of the first sample (``n2``, ``mean2``, ``sd2`` of the second, else
     null), ``t``, ``df`` (Welch's for two samples), ``p_value``, ``ci_low``, ``ci_high`` of the tested mean or
-    difference, and ``bf_t``, ``log_bf10``, ``bf10`` (pooled variance for two samples).
+    difference, and ``bf_t``, ``log_bf10``, ``bf10`` (pooled variance for two samples).  ``only``
+    leaves out the columns of the other kind: "t" or "bf".
     """
     aggregates: dict[str, Column] = {}
 
@@ -138,10 +139,10 @@ def run_tests(df: DataFrame, tests: list[Test], by: list[str] = []) -> DataFrame
             F.lit(test.alternative).alias("_alternative"), F.lit(float(test.conf)).alias("_conf"), F.lit(float(test.r)).alias("_r"),
         ))
     wide = df.groupBy(*by).agg(*aggregates.values())
-    return _tested(wide.select(*by, F.inline(F.array(*rows))), by)
+    return _tested(wide.select(*by, F.inline(F.array(*rows))), by, only)
 
 
-def _tested(m: DataFrame, by: list[str]) -> DataFrame:
+def _tested(m: DataFrame, by: list[str], only: str | None) -> DataFrame:
     """The columns of :func:`run_tests` from one row of moments and parameters for each test."""
     m = m.select("*", *[F.col(f"_a.{c}").alias(c) for c in ("n", "mean", "sd")], *[F.col(f"_b.{c}").alias(f"{c}2") for c in ("n", "mean", "sd")])
     single = F.col("_b").isNull()
@@ -158,22 +159,31 @@ def _tested(m: DataFrame, by: list[str]) -> DataFrame:
     m = m.withColumns({"df": dof, "_centre": centre, "_se": se, "_n_eff": n_eff, "_bayes_df": F.when(single, n1 - 1).otherwise(pooled_dof), "_bayes_se": bayes_se})
     m = m.withColumns({"t": F.try_divide(F.col("_centre") - F.col("_mu"), F.col("_se")), "bf_t": F.try_divide(F.col("_centre") - F.col("_mu"), F.col("_bayes_se"))})
 
+    out = [*by, "test", "n", "mean", "sd", "n2", "mean2", "sd2"]
+    if only != "bf":
+        m = _with_t_columns(m)
+        out += ["t", "df", "p_value", "ci_low", "ci_high"]
+    if only != "t":
+        bayes = F.col("bf_t").isNotNull() & ~F.isnan("bf_t") & (F.col("_bayes_df") > 0)
+        log_bf = log_bayes_factor(F.col("bf_t"), F.col("_n_eff"), F.col("_bayes_df"), F.col("_r"))
+        m = m.withColumn("log_bf10", F.when(bayes, log_bf)).withColumn("bf10", F.exp("log_bf10"))
+        out += ["bf_t", "log_bf10", "bf10"]
+    return m.select(*out)
+
+
+def _with_t_columns(m: DataFrame) -> DataFrame:
     t, two, less = F.col("t"), F.col("_alternative") == "two.sided", F.col("_alternative") == "less"
     testable = t.isNotNull() & ~F.isnan(t) & (F.col("df") > 0)
     # "less" takes the tail of -t: 1 - tail loses small tails.
     tail = t_upper_tail(F.when(less, -t).when(two, F.abs(t)).otherwise(t), F.col("df"))
     q = t_quantile((1 - F.col("_conf")) / F.when(two, 2.0).otherwise(1.0), F.col("df"))
-    bayes = F.col("bf_t").isNotNull() & ~F.isnan("bf_t") & (F.col("_bayes_df") > 0)
-    log_bf = log_bayes_factor(F.col("bf_t"), F.col("_n_eff"), F.col("_bayes_df"), F.col("_r"))
-    m = m.withColumns({"_tail": F.when(testable, tail), "_reach": F.when(testable, q) * F.col("_se"), "log_bf10": F.when(bayes, log_bf)})
+    m = m.withColumns({"_tail": F.when(testable, tail), "_reach": F.when(testable, q) * F.col("_se")})
     infinity = F.lit(float("inf"))
-    return m.select(
-        *by, "test", "n", "mean", "sd", "n2", "mean2", "sd2", "t", "df",
-        (F.col("_tail") * F.when(two, 2.0).otherwise(1.0)).alias("p_value"),
-        F.when(testable & less, -infinity).otherwise(F.col("_centre") - F.col("_reach")).alias("ci_low"),
-        F.when(testable & ~less & ~two, infinity).otherwise(F.col("_centre") + F.col("_reach")).alias("ci_high"),
-        "bf_t", "log_bf10", F.exp("log_bf10").alias("bf10"),
-    )
+    return m.withColumns({
+        "p_value": F.col("_tail") * F.when(two, 2.0).otherwise(1.0),
+        "ci_low": F.when(testable & less, -infinity).otherwise(F.col("_centre") - F.col("_reach")),
+        "ci_high": F.when(testable & ~less & ~two, infinity).otherwise(F.col("_centre") + F.col("_reach")),
+    })
 
 
 def _as_list(columns: str | list[str]) -> list[str]:
@@ -186,13 +196,13 @@ def t_test_one(
 ) -> DataFrame:
     """One-sample t test of every listed column in every group; missing values are left out."""
     tests = [Test(c, c, mu=mu, alternative=alternative, conf=conf) for c in _as_list(columns)]
-    out = run_tests(df, tests, by).withColumnRenamed("test", "variable")
+    out = run_tests(df, tests, by, "t").withColumnRenamed("test", "variable")
     return out.select(*by, "variable", "n", "mean", "sd", "t", "df", "p_value", "ci_low", "ci_high")
 
 
 def _welch(df: DataFrame, test: Test, by: list[str]) -> DataFrame:
     names = {"n": "n1", "mean": "mean1"}
-    out = run_tests(df, [test], by).withColumnsRenamed(names)
+    out = run_tests(df, [test], by, "t").withColumnsRenamed(names)
     return out.select(*by, "n1", "n2", "mean1", "mean2", "t", "df", "p_value", "ci_low", "ci_high")
 
 
@@ -215,7 +225,7 @@ def bf_one_sample(
     df: DataFrame, columns: str | list[str], mu: float = 0.0, r: float = MEDIUM_PRIOR, by: list[str] = []
 ) -> DataFrame:
     """JZS Bayes factor of every listed column against ``mu`` in every group."""
-    out = run_tests(df, [Test(c, c, mu=mu, r=r) for c in _as_list(columns)], by)
+    out = run_tests(df, [Test(c, c, mu=mu, r=r) for c in _as_list(columns)], by, "bf")
     return out.select(*by, F.col("test").alias("variable"), "n", F.col("bf_t").alias("t"), "bf10", "log_bf10")
 
 
@@ -223,7 +233,7 @@ def bf_paired(
     df: DataFrame, a: str, b: str, mu: float = 0.0, r: float = MEDIUM_PRIOR, by: list[str] = []
 ) -> DataFrame:
     """JZS Bayes factor of the row-wise difference of two columns."""
-    out = run_tests(df, [Test("", a, minus=b, mu=mu, r=r)], by)
+    out = run_tests(df, [Test("", a, minus=b, mu=mu, r=r)], by, "bf")
     return out.select(*by, "n", F.col("bf_t").alias("t"), "bf10", "log_bf10")
 
 
@@ -231,7 +241,7 @@ def bf_two_sample(
     df: DataFrame, column: str, group: str, labels: tuple, r: float = MEDIUM_PRIOR, by: list[str] = []
 ) -> DataFrame:
     """JZS Bayes factor of two independent samples with pooled variance."""
-    out = run_tests(df, [Test("", column, group=group, labels=labels, r=r)], by)
+    out = run_tests(df, [Test("", column, group=group, labels=labels, r=r)], by, "bf")
     return out.select(*by, F.col("n").alias("n1"), "n2", F.col("bf_t").alias("t"), "bf10", "log_bf10")
 
 
