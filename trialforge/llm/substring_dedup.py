@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bitmap import Bitmap
+from .bitmap import Bitmap, likely_in
 from .common import checkpointed, packed, unpacked
 from .words import Words, spans, text_words, windows
 
@@ -107,11 +107,14 @@ def _windows(window: int, kmer: int, wanted):
     return run
 
 
-def _cut(window: int, keep_text: bool):
-    """Each text without the words of its repeated windows."""
+def _cut(window: int, keep_text: bool, other_than=None):
+    """Each text without the words of its repeated windows; with a bitmap, only of rows whose ``key`` isn't in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if other_than is not None:
+                key = batch.column("key").to_numpy().view(np.uint64)
+                batch = batch.filter(pa.array(~other_than.value.has(key)))
             total, removed, kept = [], [], []
             for text, places in zip(batch.column("text").cast(pa.large_binary()), batch.column("places")):
                 words = (text.as_py() or b"").split()
@@ -128,7 +131,7 @@ def _cut(window: int, keep_text: bool):
                 removed.append(gone)
                 kept.append(b" ".join(words))
             out = pa.array(kept, pa.large_binary()).cast(pa.large_string()).cast(pa.string())
-            given = [n for n in batch.schema.names if n != "places" and (keep_text or n != "text")]
+            given = [n for n in batch.schema.names if n not in ("key", "places") and (keep_text or n != "text")]
             yield pa.record_batch([*batch.select(given).columns, pa.array(total, pa.int64()), pa.array(removed, pa.int64()), out], [*given, "n_words", "n_removed", "kept_text"])
 
     return run
@@ -167,10 +170,16 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``keep_text`` the text column is left out.
     """
     texts = docs.select(F.col(id_col).alias("id"), F.hash(text_col).alias("h"), F.col(text_col).alias("text"))
-    places = repeated_places(texts, window, kmer)
+    # Only texts that may have a repeated place are shuffled; the others are cut into words where they are.
+    places = checkpointed(repeated_places(texts, window, kmer).withColumn("key", F.xxhash64("id", "h")))
     added = ["n_words", "n_removed", "kept_text"]
-    rows = docs.select(packed(docs, [*added, text_col]).alias("row"), F.col(id_col).alias("row_id"), F.hash(text_col).alias("row_h"), F.col(text_col).alias("text"))
-    joined = rows.join(places, rows["row_id"].eqNullSafe(places["id"]) & (rows["row_h"] == places["h"]), "left").select("row", "text", "places")
-    shape = f"row {joined.schema['row'].dataType.simpleString()}" + ", text string" * keep_text
-    cut = joined.mapInArrow(_cut(window, keep_text), f"{shape}, n_words long, n_removed long, kept_text string")
+    key = F.xxhash64(F.col(id_col), F.hash(text_col))
+    rows = docs.select(packed(docs, [*added, text_col]).alias("row"), F.col(id_col).alias("row_id"), F.hash(text_col).alias("row_h"), F.col(text_col).alias("text"), key.alias("key"))
+    losing = likely_in(rows, "key", places, "key")
+    same = losing["row_id"].eqNullSafe(places["id"]) & (losing["row_h"] == places["h"])
+    joined = losing.join(places, same, "left").select("row", "text", "places")
+    whole = rows.select("row", "text", "key", F.lit(None).cast(places.schema["places"].dataType).alias("places"))
+    shape = f"row {joined.schema['row'].dataType.simpleString()}" + ", text string" * keep_text + ", n_words long, n_removed long, kept_text string"
+    held = docs.sparkSession.sparkContext.broadcast(Bitmap(places, "key"))
+    cut = joined.mapInArrow(_cut(window, keep_text), shape).union(whole.mapInArrow(_cut(window, keep_text, held), shape))
     return cut.select(*unpacked(cut, "row"), *[F.col("text").alias(text_col)] * keep_text, *added)
