@@ -235,3 +235,50 @@ def test_mined_rules(spark):
     for r in found.collect():
         bad = bool(r["page_id"] % 2 and r["page_id"] % 3)
         assert (r["verdict"] == "block") == bad and (r["confidence"] == 1.0 if bad else r["confidence"] is None)
+
+
+def blocked_by_any_set(urls, labels, least=10, sure=0.8):
+    """Confidence of the surest token set of each URL with enough labelled URLs, over all sets."""
+    import itertools
+
+    marked = [(tokens, labels[i]) for i, tokens in enumerate(urls) if i in labels]
+    out = []
+    for tokens in urls:
+        best = None
+        for size in range(1, len(tokens) + 1):
+            for chosen in itertools.combinations(sorted(tokens), size):
+                met = [bad for other, bad in marked if set(chosen) <= other]
+                if sum(met) >= least and sum(met) / len(met) >= sure:
+                    best = max(best or 0, sum(met) / len(met))
+        out.append(best)
+    return out
+
+
+def test_mined_rules_are_those_of_all_token_sets(spark):
+    draw, urls, sets = random.Random(12), [], []
+    for i in range(160):
+        host, words, ref = draw.choice(["one", "two"]), draw.sample(["win", "buy", "read", "cheap"], draw.randint(0, 2)), draw.choice(["spam", "feed", None])
+        urls.append(f"http://{host}/{'-'.join(words)}{f'?ref={ref}' if ref else ''}")
+        path = {f"path:{w}" for w in words} | ({f"path:{'-'.join(words)}"} if words else set())
+        sets.append({f"host:{host}"} | path | ({"key:ref", f"value:ref={ref}"} if ref else set()))
+    labels = {i: ("ref=spam" in u and "win" in u) or ("buy" in u and "one" in u and draw.random() < 0.9) for i, u in enumerate(urls) if i % 8}
+    want = blocked_by_any_set(sets, labels)
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    marks = spark.createDataFrame([(i, 0 if bad else 1, 0) for i, bad in labels.items()], "doc_id long, quality int, toxic int")
+    found = {r.page_id: r.confidence for r in url_filter.judge_urls(pages, marks).collect()}
+    assert 0 < sum(w is not None for w in want) < len(urls)
+    assert found == {i: pytest.approx(w) if w is not None else None for i, w in enumerate(want)}
+
+
+def test_long_urls_with_much_in_common_are_mined_in_seconds(spark):
+    import time
+
+    shared = "/".join(f"word{k}" for k in range(60))
+    urls = [f"http://host/{shared}/{i}" for i in range(24)]
+    # Every other URL lacks one word of its own, so that no two words are one class.
+    urls += [f"http://host/{'/'.join(f'word{k}' for k in range(60) if k != i)}" for i in range(60)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0, 1) for i in range(0, len(urls), 2)], "doc_id long, quality int, toxic int")
+    start = time.time()
+    found = url_filter.judge_urls(pages, labels).collect()
+    assert all(r["verdict"] == "block" for r in found) and time.time() - start < 60
