@@ -29,10 +29,12 @@ def align(item, text):
     return best / (2 * len(item))
 
 
-def seeded(item, text):
-    """Whether a run of three words, or the whole item when shorter, is in both."""
-    k = min(3, len(item))
-    return not {tuple(item[i : i + k]) for i in range(len(item) - k + 1)}.isdisjoint(tuple(text[i : i + k]) for i in range(len(text) - k + 1))
+def scored(item, text):
+    """Score of the best local alignment; an item of one or two words only as a whole run."""
+    k = len(item)
+    if k <= 2 and item not in [text[i : i + k] for i in range(len(text) - k + 1)]:
+        return 0.0
+    return align(item, text)
 
 
 def leaked(draw):
@@ -49,17 +51,18 @@ def leaked(draw):
     return rows + [(400, "x TINY y", "s", "x"), (401, "two words", "s", "x"), (402, "a " * 60_000 + items[0][1], "s", "x"), rows[-1]], items
 
 
-@pytest.mark.parametrize("block_words", [60, 500_000])
-def test_leaks(spark, block_words):
+@pytest.mark.parametrize("least_hits", [1, 4])
+def test_leaks(spark, least_hits, monkeypatch):
+    monkeypatch.setattr(decontamination, "LEAST_HITS", least_hits)
     rows, items = leaked(random.Random(4))
-    found = decontamination.leaks(frame(spark, rows).withColumnRenamed("kept", "score"), spark.createDataFrame(items, "item_id long, text string"), block_words=block_words)
+    found = decontamination.leaks(frame(spark, rows).withColumnRenamed("kept", "score"), spark.createDataFrame(items, "item_id long, text string"))
     assert found.columns == ["doc_id", "text", "source", "item_id", "score", "n_items", "contaminated"]
     texts = {i: marks_off(t.lower()) for i, t in items if t}
     got = found.collect()
     assert len(got) == len(rows)
     for r in got:
         run = marks_off((r["text"] or "").lower())
-        exact = {i: align(t, run) for i, t in texts.items() if seeded(t, run)} if len(run) < 5000 else {0: 1.0}
+        exact = {i: scored(t, run) for i, t in texts.items()} if len(run) < 5000 else {0: 1.0}
         bad = sorted((-s, i) for i, s in exact.items() if s >= 0.5)
         assert r["n_items"] == len(bad) and r["contaminated"] == bool(bad), r["doc_id"]
         if bad:
@@ -96,6 +99,41 @@ def test_edited_copies_beside_a_verbatim_one_are_found(spark):
     assert decontamination.drop_leaks(frame(spark, rows), benchmark).count() == 0
 
 
+def edited(draw, item, kind):
+    """A copy with every second or third word replaced, doubled or followed by another, or random edits."""
+    if kind == "third":
+        return [x if i % 3 != 2 else f"other{i}" for i, x in enumerate(item)]
+    if kind == "after each":
+        return [y for i, x in enumerate(item) for y in (x, f"more{i}")]
+    if kind == "half gone":
+        return [x for i, x in enumerate(item) if i % 4 != 3]
+    out = list(item)
+    for _ in range(draw.randint(1, len(item) // 2)):
+        at = draw.randrange(len(out))
+        out[at : at + draw.randint(0, 1)] = [draw.choice(item + ["zz"])] * draw.randint(0, 2) if len(out) > 3 else out[at : at + 1]
+    return out
+
+
+def test_every_copy_within_the_limit_is_found(spark):
+    """All pairs of text and item by brute force, with copies at the very limit and items of common words."""
+    draw = random.Random(11)
+    items = [[f"i{k}w{j}" for j in range(draw.randint(3, 40))] for k in range(10)] + [[f"w{draw.randint(0, 6)}" for _ in range(draw.randint(3, 30))] for _ in range(8)] + [["w1"] * 12]
+    texts = [random_text(draw, draw.randint(0, 60), 8) for _ in range(30)]
+    for k in range(150):
+        item = items[draw.randrange(len(items))]
+        copy = edited(draw, item, draw.choice(["third", "after each", "half gone", "any", "any", "any"]))
+        texts.append(random_text(draw, draw.randint(0, 40), 50) + copy + random_text(draw, draw.randint(0, 40), 50))
+    rows = [(i, " ".join(t), "s", "x") for i, t in enumerate(texts)]
+    found = decontamination.leaks(frame(spark, rows), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string"))
+    got = {r["doc_id"]: (r["n_items"], r["item_id"], r["score"]) for r in found.collect()}
+    close = 0
+    for i, text in enumerate(texts):
+        best = sorted((-s, k) for k, item in enumerate(items) if (s := align(item, text)) >= 0.5)
+        close += bool(best) and -best[0][0] < 0.6
+        assert got[i] == ((len(best), best[0][1], pytest.approx(-best[0][0])) if best else (0, None, 0.0)), i
+    assert close > 20
+
+
 def area(scores, labels):
     order = np.argsort(scores, kind="stable")
     _, same, times = np.unique(np.asarray(scores), return_inverse=True, return_counts=True)

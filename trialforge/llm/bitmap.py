@@ -15,9 +15,9 @@ BITS = (16, 27)  # least and most bits of a bitmap, as powers of two
 class Bitmap:
     """A set of 64-bit numbers in bounded memory; may hold more, never less."""
 
-    def __init__(self, numbers: DataFrame, column: str):
+    def __init__(self, numbers: DataFrame, column: str, spread: int = 8):
         count = numbers.count()
-        self.bits = min(max(BITS[0], (8 * count).bit_length()), BITS[1])
+        self.bits = min(max(BITS[0], (spread * count).bit_length()), BITS[1])
         slot = F.col(column).bitwiseAND(F.lit((1 << self.bits) - 1))
         found = (
             numbers.select(F.shiftright(slot, 6).alias("cell"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("bit"))
