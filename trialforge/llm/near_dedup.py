@@ -177,7 +177,8 @@ def component_of(texts: DataFrame, percent: int = PERCENT, miss: float = MISS, b
     ties = bands.join(shared, "band").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     families = checkpointed(components(ties))
 
-    sizes = families.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block))
+    # Written first, so that the join's side with large families is an exchange Spark can split.
+    sizes = checkpointed(families.groupBy("component").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / block)))
     members = families.join(sizes, "component").select(
         F.col("component").alias("family"), F.col("node").alias("rep"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
     )
