@@ -81,3 +81,39 @@ def test_pipeline(spark, tmp_path):
     mixed = corpus_pipeline.run(spark, folder).collect()
     assert {r["doc_id"] for r in mixed} <= left[3] and all(1 <= r["copies"] <= 3 for r in mixed)
     assert [name for name, _ in corpus_pipeline.STAGES] and len(corpus_pipeline.STAGES) == 5
+
+
+def tables_of(spark, folder, rows):
+    extra = "score double, kept string, item_id long, n_shingles long, key long"
+    docs = [(*r, 0.5, "k", 7, 1, 2) for r in rows]
+    write(spark, folder, "documents", docs, f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    write(spark, folder, "labels", [(i, 1, i % 2) for i in range(200)], "doc_id long, quality int, toxic int")
+    write(spark, folder, "benchmark", [(1, "rare item of the benchmark with some words in it"), (None, None), (2, "")], "item_id long, text string")
+
+
+def test_pipeline_with_odd_rows(spark, tmp_path):
+    """Repeated ids and rows, null ids, null, empty and very long texts, and columns named like results."""
+    draw, folder = random.Random(9), str(tmp_path)
+    text = lambda n: " ".join(random_text(draw, n, 50_000))
+    rows = [(i, text(60) + (" vile rotten" if i % 2 else ""), "en", "ab"[i % 2], 1) for i in range(200)]
+    long_text = text(150_000)
+    rows += [(300, long_text, "en", "a", 1), (300, long_text, "en", "a", 1), (301, text(50), "en", "a", 1), (301, text(50), "de", None, 1)]
+    rows += [(None, text(40), None, None, None), (None, None, None, None, None), (302, "", "en", "b", 0), (303, None, "en", "b", 0)]
+    tables_of(spark, folder, rows)
+    docs = corpus_pipeline.table(spark, folder, "documents")
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.written(stage(spark, docs, folder))
+        assert docs.columns == columns
+    left = docs.collect()
+    assert all(r["kept"] == "k" and r["score"] == 0.5 and r["item_id"] == 7 for r in left)
+    ids = [r["doc_id"] for r in left]
+    assert ids.count(300) == 1 and sum(r["text"] is None or not r["text"] for r in left) == 1
+    assert {i for i in range(0, 200, 2)} <= set(ids)
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, folder)
+    assert set(columns) <= set(mixed.columns) and mixed.count() <= len(left)
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    tables_of(spark, str(tmp_path), [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
