@@ -75,20 +75,37 @@ def product_sums(fit: DataFrame, centre: list[int]) -> DataFrame:
     return sums.groupBy("i", "j").agg(F.sum("high").cast("decimal(38,0)").alias("high"), F.sum("low").alias("low"))
 
 
-def moments(fit: DataFrame) -> tuple[int, list[int], list[list[Fraction]] | None]:
-    """Number of vectors, sums of their entries, and the covariance, all exact."""
-    one = fit.select(F.posexplode("x").alias("i", "x")).groupBy("i").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n")).orderBy("i").collect()
+def entry_sums(fit: DataFrame, d: int) -> DataFrame:
+    """(i, s, n): the sum of entry i over ``fit``, and the number of vectors; d rows from each task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(d, object), 0
+        for batch in batches:
+            x = rows_of(batch.column("x"), d)
+            if len(x):
+                fits = max(abs(int(x.min())), abs(int(x.max()))) * len(x) < 1 << 63
+                total, n = total + (x if fits else x.astype(object)).sum(axis=0).astype(object), n + len(x)
+        if n:
+            yield pa.record_batch({"i": pa.array(range(d), pa.int32()), "s": pa.array([int(v) for v in total], pa.decimal128(38, 0)), "n": pa.array([n] * d, pa.int64())})
+
+    return fit.mapInArrow(task, "i int, s decimal(38,0), n bigint").groupBy("i").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))
+
+
+def moments(fit: DataFrame, d: int) -> tuple[int, list[int], np.ndarray, float]:
+    """Number of vectors, sums of their entries, covariance and its trace; exact until they are rounded to doubles."""
+    one = entry_sums(fit, d).orderBy("i").collect()  # d rows
     if not one:
-        return 0, [], None
+        return 0, [], np.zeros((0, 0)), 0.0
     n, sums = one[0]["n"], [int(r["s"]) for r in one]
     centre = [s // n for s in sums]
-    rest = [Fraction(s, n) - c for s, c in zip(sums, centre)]
-    d = len(sums)
-    covariance = [[Fraction(0)] * d for _ in range(d)]
-    for r in product_sums(fit, centre).collect():
-        i, j = r["i"], r["j"]
-        covariance[i][j] = covariance[j][i] = Fraction((int(r["high"]) << LIMB) + r["low"], n) - rest[i] * rest[j]
-    return n, sums, covariance
+    left = [s - n * c for s, c in zip(sums, centre)]  # of the mean, over n
+    covariance, trace = np.zeros((d, d)), 0
+    for batch in product_sums(fit, centre).toArrow().to_batches():
+        for i, j, high, low in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "high", "low"))):
+            squared = ((int(high) << LIMB) + low) * n - left[i] * left[j]
+            covariance[i, j] = covariance[j, i] = float(Fraction(squared, n * n))
+            trace += squared if i == j else 0
+    return n, sums, covariance, float(Fraction(trace, n * n))
 
 
 def components_of(spark: SparkSession, covariance: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,12 +176,10 @@ def whitened(frame: DataFrame, vector_col: str = "embedding", components: int =
     lengths = [r[0] for r in fit.select(F.size("x").alias("d")).distinct().limit(2).collect()]
     if len(lengths) > 1 or lengths and lengths[0] > MOST_DIMENSIONS:
         raise ValueError(f"vectors must have one length of {MOST_DIMENSIONS} at most, found {sorted(lengths)}")
-    n, sums, exact = moments(fit)
+    n, sums, covariance, trace = moments(fit, lengths[0] if lengths else 0)
     d = len(sums)
-    covariance = np.array([[float(v) for v in r] for r in exact]) if exact else np.zeros((0, 0))
     values, vectors = components_of(spark, covariance, components) if d else (np.zeros(0), np.zeros((0, 0)))
     k = len(values)
-    trace = float(sum(exact[i][i] for i in range(d))) if exact else 0.0
     centre = [s // n for s in sums]
     left = [s - n * c for s, c in zip(sums, centre)]  # S - n * centre
     model = spark.sparkContext.broadcast((np.array(centre, np.int64), left, np.array([float(Fraction(v, n)) for v in left]), vectors.T / np.sqrt(values) if k else np.zeros((d, 0))))
