@@ -80,7 +80,7 @@ def test_signed_rank_of_continuous_values(spark, alternative):
 
 def test_groups_over_many_runs(spark, small_limits):
     draw = random.Random(2)
-    data = {"a": [KINDS["plain"](draw) for _ in range(150)], "b": [KINDS["tied"](draw) for _ in range(150)], None: [KINDS["steep"](draw) for _ in range(120)], "small": [0.5, 0.7, -0.2]}
+    data = {"a": [KINDS["plain"](draw) for _ in range(60)], "b": [KINDS["tied"](draw) for _ in range(90)], None: [KINDS["steep"](draw) for _ in range(40)], "small": [0.5, 0.7, -0.2]}
     df = spark.createDataFrame([(g, x) for g, xs in data.items() for x in xs], "g string, x double")
     found = {r.g: r for r in stats.signed_rank(df, "x", 0.4, by=["g"], exact=False).collect()}
     assert set(found) == set(data)
@@ -113,9 +113,9 @@ def test_dot_bins_of_continuous_values(spark, width):
 
 def test_wide_bins_over_many_runs(spark, small_limits):
     """A bin that spans several runs, and a walk without gaps."""
-    xs = [i * 0.5 for i in range(80)] + [100.0 + i * 0.001 for i in range(40)]
+    xs = [i * 0.5 for i in range(40)] + [100.0 + i * 0.001 for i in range(20)]
     df = spark.createDataFrame([("a", x) for x in xs], "g string, x double").repartition(3)
-    for width in (7.25, 0.5, 1000.0):
+    for width in (7.25, 1000.0):
         rows = report.dot_bins(df, "x", ["g"], width).collect()
         assert sorted((r.bin_centre, r.dots) for r in rows) == walk(xs, width)
 
@@ -163,7 +163,7 @@ def test_nothing_to_rank(spark):
     assert [(q.g, q.n, q.zeros, q.estimate, q.ci_low, q.z) for q in r] == [("a", 0, 4, 5.0, None, None)]
 
 
-def test_values_of_two_million_rows_are_spread(spark, plan):
+def test_a_group_beyond_one_task(spark):
     """Selection in a group beyond one task reads runs, never the group."""
     spark.conf.set(skew.HOT_ROWS_CONF, "4000")
     try:
