@@ -120,7 +120,36 @@ def substrings(spark: SparkSession, folder: str) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-@query("op11_sharding")
+@query(
+    "op11_sharding",
+    r"""
+    WITH RECURSIVE bits AS (
+      SELECT list(c ORDER BY n) AS t FROM (
+        SELECT n, list_reduce([n::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0],
+          LAMBDA c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) AS c
+        FROM range(256) r(n))),
+    sized AS (
+      SELECT doc_id, (octet_length(encode(coalesce(text, ''))) + 1)::BIGINT AS size,
+        xor(list_reduce([4294967295::UBIGINT] || list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), LAMBDA h: ('0x' || h)::UBIGINT),
+          LAMBDA c, b: xor(c >> 8, t[(xor(c, b) & 255)::INT + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32
+      FROM documents, bits),
+    keyed AS (
+      SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 16))::UBIGINT::HUGEINT AS key,
+        ('0x' || substr(md5(concat_ws(chr(31), doc_id, size, text_crc32)), 1, 16))::UBIGINT::HUGEINT AS draw
+      FROM sized),
+    jumps AS (
+      SELECT DISTINCT key, key AS state, 0::BIGINT AS dest FROM keyed
+      UNION ALL
+      SELECT key, state, floor((dest + 1) * (2147483648::DOUBLE / (state // 8589934592 + 1)::DOUBLE))::BIGINT
+      FROM (SELECT key, dest, (state * 2862933555777941757 + 1) % 18446744073709551616 AS state FROM jumps WHERE dest < 9)),
+    dealt AS (SELECT key, max(dest) FILTER (dest < 8) AS shard, max(dest) FILTER (dest < 9) AS grown FROM jumps GROUP BY key)
+    SELECT doc_id, size, text_crc32, 'key' AS law, shard::INT AS shard,
+      row_number() OVER (PARTITION BY shard ORDER BY CASE WHEN draw >= 9223372036854775808 THEN draw - 18446744073709551616 ELSE draw END,
+        doc_id NULLS FIRST, size, text_crc32) - 1 AS slot,
+      grown::INT AS grown_shard
+    FROM keyed JOIN dealt USING (key)
+    """,
+)
 def shards(spark: SparkSession, folder: str) -> DataFrame:
     rows = sharding.measured(table(spark, folder, "documents"))
     return sharding.sharded(rows).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")

@@ -66,6 +66,16 @@ def jump_hash(key: Column, shards: int) -> Column:
     return F.when(usual["to"] >= shards, usual["at"]).otherwise(fold(usual, shards)["at"]).cast("int")
 
 
+def number_of(text: Column) -> Column:
+    """A 64-bit number for a text: the first half of its MD5 digest, the same on every engine."""
+    return F.conv(F.substring(F.md5(text), 1, 16), 16, -10).cast("long")
+
+
+def key_number(key: Column) -> Column:
+    """The number that a key of any type is dealt by; null is a key like the empty text."""
+    return number_of(F.coalesce(key.cast("string"), F.lit("")))
+
+
 def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id``, ``size`` (bytes of the text in UTF-8 plus 1; null has none) and ``text_crc32``."""
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -76,17 +86,17 @@ def sharded(rows: DataFrame, key_col: str = "doc_id", shards: int = SHARDS) -> D
     """All ``rows`` with ``law``, ``shard``, ``slot`` and ``grown_shard``, which take the place of columns so named.
 
     ``slot`` numbers the rows of a shard from 0 without gaps, in an order by hash that depends
-    on the rows alone.  ``grown_shard`` is the shard with one shard more.  A null key is a key
-    like others: all its rows share a shard.  Equal texts aren't held together, as the key alone decides.
-    Columns must be of types that can be grouped and hashed.  An empty table gives an empty table.
+    on the rows alone.  ``grown_shard`` is the shard with one shard more.  All rows of a key share a
+    shard; null is a key like the empty text.  Equal texts aren't held together, as the key alone decides.
+    Columns must be of types that can be grouped and cast to text.  An empty table gives an empty table.
     """
     added = {"law", "shard", "slot", "grown_shard"}
     columns = [c for c in rows.columns if c.lower() not in added]
     kept = [F.col(f"`{c}`") for c in columns]
     row = F.struct(*[c.alias(f"c{i}") for i, c in enumerate(kept)])
-    units = checkpointed(rows.select(row.alias("row"), F.xxhash64(F.col(f"`{key_col}`")).alias("key")).groupBy("row", "key").agg(F.count("*").alias("times")))
+    units = checkpointed(rows.select(row.alias("row"), key_number(F.col(f"`{key_col}`")).alias("key")).groupBy("row", "key").agg(F.count("*").alias("times")))
     total = units.count()
-    placed = units.select("row", "times", jump_hash(F.col("key"), shards).alias("shard"), jump_hash(F.col("key"), shards + 1).alias("grown_shard"), F.xxhash64("row").alias("draw"))
+    placed = units.select("row", "times", jump_hash(F.col("key"), shards).alias("shard"), jump_hash(F.col("key"), shards + 1).alias("grown_shard"), number_of(F.concat_ws("\x1f", *[F.col("row")[c].cast("string") for c in units.schema["row"].dataType.names])).alias("draw"))
     # Buckets of the order, enough for all tasks and small enough for one.
     buckets = max(1, 4 * partitions(rows.sparkSession) // shards, total // (shards * 200_000))
     bucket = F.floor((F.shiftright(F.col("draw"), 11) + F.lit(1 << 52)) / F.lit(float(1 << 53)) * buckets)
@@ -111,6 +121,6 @@ def sharded(rows: DataFrame, key_col: str = "doc_id", shards: int = SHARDS) -> D
 
 def write_shards(rows: DataFrame, path: str, key_col: str = "doc_id", shards: int = SHARDS) -> None:
     """``rows`` as Parquet in one folder for each shard; a shard is cut over several files by the session's file size."""
-    shard = jump_hash(F.xxhash64(F.col(f"`{key_col}`")), shards)
+    shard = jump_hash(key_number(F.col(f"`{key_col}`")), shards)
     dealt = rows.withColumn("shard", shard)
     dealt.hint("rebalance", "shard").write.partitionBy("shard").parquet(path)
