@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BITS = (16, 27)  # least and most bits of a bitmap, as powers of two
@@ -47,3 +48,35 @@ def likely_in(rows: DataFrame, column: str, numbers: DataFrame, number: str, ins
             yield batch.filter(pa.array(there == inside))
 
     return rows.mapInArrow(run, rows.schema)
+
+
+class Sieve(Bitmap):
+    """A set like ``Bitmap`` that looks at two places for each number and lets fewer others through."""
+
+    def __init__(self, numbers: DataFrame, column: str, spread: int = 32):
+        both = F.explode(F.array(F.col(column), F.shiftrightunsigned(F.col(column), 32)))
+        super().__init__(numbers.select(both.alias(column)), column, spread)
+
+    def has(self, numbers: np.ndarray) -> np.ndarray:
+        return super().has(numbers) & super().has(numbers >> np.uint64(32))
+
+
+def maybe_in(column: Column, held) -> Column:
+    """Whether a long, or any long of an array, may be in the broadcast set ``held``; null is not.
+
+    Only ``column`` travels to Python; the rest of the row stays in the JVM.
+    """
+
+    @F.arrow_udf("boolean")
+    def there(numbers: pa.Array) -> pa.Array:
+        ends = numbers.flatten() if pa.types.is_list(numbers.type) else numbers
+        found = held.value.has(ends.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64))
+        found &= ends.is_valid().to_numpy(zero_copy_only=False)
+        if ends is numbers:
+            return pa.array(found)
+        sums = np.concatenate([[0], np.cumsum(found)])
+        size = pc.fill_null(pc.list_value_length(numbers), 0).to_numpy(zero_copy_only=False)
+        last = np.cumsum(size)
+        return pa.array(sums[last] > sums[last - size])
+
+    return there(column)

@@ -7,10 +7,11 @@ variant without one word, once with the word's place and once without.  Lines th
 key are within the bound, so the earliest of each key is found by an aggregate and no pair is
 listed; the line each is to be dropped for is then verified word by word.
 
-Variants are emitted only for lines that share a half with another line, and then all but an
-eighth, which any two lines within one edit do, and only for the words of that eighth.  Shared
-pieces and repeated lines are kept in bitmaps of bounded size that the scans look up, so that
-most lines never travel with their words.
+All texts are cut into words once.  That gives a table of lines (two hashes, place, keys of
+halves), and everything else starts from its distinct lines: those that share a half with
+another line are fetched as text, and emit variants where they also share all but an eighth,
+which any two lines within one edit do, and only for the words of that eighth.  Shared eighths
+are looked up in sets of bounded size; what these let through by chance costs variants only.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bitmap import Bitmap, likely_in
-from .common import checkpointed, packed, unpacked
+from .bitmap import Sieve, maybe_in
+from .common import SPACES, checkpointed, packed, unpacked, written
 from .words import Words, mixed, spans, spans_without, text_words
 
 HALVES, PIECES = 2, 8  # cuts of a line in the first and the second look for likely neighbours
@@ -42,7 +43,11 @@ class Lines:
         self.row, self.at, self.first = row[first], line[first], first
         self.n = np.diff(np.append(first, len(row)))
         self.a = spans(words.hashes, first, self.n)
-        self.b = spans(mixed(words.hashes ^ _SECOND), first, self.n)
+        # Not a polynomial, so no line that fools the first hash fools the second too.
+        place = np.arange(len(row)) - np.repeat(first, self.n)
+        sums = np.zeros(len(row) + 1, np.uint64)
+        np.cumsum(mixed(words.hashes ^ mixed(place.astype(np.uint64) + _SECOND)), out=sums[1:])
+        self.b = mixed(sums[first + self.n] - sums[first] + self.n.astype(np.uint64))
 
     def pieces(self, words: Words, parts: int) -> np.ndarray:
         """For each line, twice ``parts`` keys; two lines within one edit share at least one.
@@ -71,79 +76,78 @@ def _who(batch: pa.RecordBatch, first: int, row: np.ndarray) -> list[pa.Array]:
     return [batch.column("id").take(rows), batch.column("h").take(rows)]
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (id, h, at, a, b), one for each line with words."""
-    for batch in batches:
-        for first, _, words in text_words(batch.column("text"), lower=True):
-            lines = Lines(words)
-            yield pa.record_batch([*_who(batch, first, lines.row), pa.array(lines.at.astype(np.int32)), _long(lines.a), _long(lines.b)], ["id", "h", "at", "a", "b"])
-
-
-def _pieces(column: str, least: int, parts: int):
-    """Rows (piece, a): the keys of long lines."""
+def _lines(least: int):
+    """Rows (id, h, at, a, b, halves), one for each line with words; short lines have no halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, words in text_words(batch.column(column), lower=True):
+            for first, _, words in text_words(batch.column("text"), lower=True):
                 lines = Lines(words)
                 long = lines.n >= least
-                keys = lines.pieces(words, parts)[long]
-                yield pa.record_batch([_long(keys.ravel()), _long(np.repeat(lines.a[long], 2 * parts))], ["piece", "a"])
+                ends = np.concatenate([[0], np.cumsum(long * 2 * HALVES)]).astype(np.int32)
+                halves = pa.ListArray.from_arrays(pa.array(ends), _long(lines.pieces(words, HALVES)[long].ravel()))
+                yield pa.record_batch([*_who(batch, first, lines.row), pa.array(lines.at.astype(np.int32)), _long(lines.a), _long(lines.b), halves], ["id", "h", "at", "a", "b", "halves"])
 
     return run
 
 
-def _likely(least: int, shared):
-    """Rows (id, h, at, a, b, line): long lines that may share a half with another, as words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, _, words in text_words(batch.column("text"), lower=True):
-                lines = Lines(words)
-                keys = lines.pieces(words, HALVES)
-                k = np.flatnonzero((lines.n >= least) & shared.value.has(keys.ravel()).reshape(keys.shape).any(axis=1))
-                text = []
-                for i in k:
-                    low, high = words.start[lines.first[i]], words.stop[lines.first[i] + lines.n[i] - 1]
-                    text.append(b" ".join(bytes(words.data[low:high]).lower().split()))
-                line = pa.array(text, pa.binary()).cast(pa.string())
-                yield pa.record_batch([*_who(batch, first, lines.row[k]), pa.array(lines.at[k].astype(np.int32)), _long(lines.a[k]), _long(lines.b[k]), line], ["id", "h", "at", "a", "b", "line"])
-
-    return run
+def _eighths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (piece, longer, b): the keys of lines; ``longer`` where cut for one word less."""
+    for batch in batches:
+        for _, _, words in text_words(batch.column("line"), lower=True):
+            lines = Lines(words)
+            longer = np.tile(np.repeat([False, True], PIECES), len(lines.n))
+            yield pa.record_batch([_long(lines.pieces(words, PIECES).ravel()), pa.array(longer), _long(np.repeat(lines.b, 2 * PIECES))], ["piece", "longer", "b"])
 
 
-def _variants(shared):
+def _variants(equal, across):
     """Rows (first, key, role): role 0 the line itself, 1 a word left out, 2 the same at its place.
 
-    Words are left out where the edit can be: in pieces without which the line may be shared.
+    Words are left out where the edit can be: in pieces without which a line of the same length
+    (role 2) or of one word less (role 1) may be the same; role 0 is for lines that may have a
+    neighbour with one word more.
     """
 
+    def chosen(lines: Lines, words: int, m: np.ndarray, mine: np.ndarray, more: int) -> np.ndarray:
+        edge = np.zeros(words + 1, np.int64)
+        for k in range(PIECES):
+            at = mine[:, k]
+            np.add.at(edge, (lines.first + k * m // PIECES)[at], 1)
+            np.add.at(edge, (lines.first + (k + 1) * m // PIECES + more)[at], -1)
+        return np.flatnonzero(np.cumsum(edge)[:-1] > 0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, last, words in text_words(batch.column("line"), lower=True):
+            for first, _, words in text_words(batch.column("line"), lower=True):
                 lines = Lines(words)
-                likely = shared.value.has(lines.pieces(words, PIECES).ravel()).reshape(-1, 2 * PIECES)
-                edge = np.zeros(len(words) + 1, np.int64)
-                for j, m in enumerate((lines.n, lines.n - 1)):
-                    for k in range(PIECES):
-                        mine = likely[:, j * PIECES + k]
-                        np.add.at(edge, (lines.first + k * m // PIECES)[mine], 1)
-                        np.add.at(edge, (lines.first + (k + 1) * m // PIECES + j)[mine], -1)
-                word = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
-                row = np.searchsorted(lines.first, word, "right") - 1
-                start, n = lines.first[row], lines.n[row]
-                at = word - start
-                before, after = spans(words.hashes, start, at), spans(words.hashes, word + 1, n - at - 1)
-                rest = spans_without(words.hashes, start, n, at)
-                placed = mixed((before ^ _PLACE) + mixed(after + at.astype(np.uint64)))
-                met = np.flatnonzero(likely.any(axis=1))
-                rows = np.concatenate([met, row, row])
-                role = np.repeat(np.array([0, 1, 2], np.int32), [len(met), len(row), len(row)])
-                yield pa.record_batch([batch.column("first").take(pa.array(first + lines.row[rows])), _long(np.concatenate([lines.a[met], rest, placed])), pa.array(role)], ["first", "key", "role"])
+                keys = lines.pieces(words, PIECES)
+                same = equal.value.has(keys[:, :PIECES].ravel()).reshape(-1, PIECES)
+                other = across.value.has(keys.ravel()).reshape(-1, 2 * PIECES)
+                own = np.flatnonzero(other[:, :PIECES].any(axis=1))
+                cut = chosen(lines, len(words), lines.n - 1, other[:, PIECES:], 1)
+                placed = chosen(lines, len(words), lines.n, same, 0)
+                cut_row, placed_row = (np.searchsorted(lines.first, w, "right") - 1 for w in (cut, placed))
+                start, n = lines.first[placed_row], lines.n[placed_row]
+                at = placed - start
+                before, after = spans(words.hashes, start, at), spans(words.hashes, placed + 1, n - at - 1)
+                hashes = [
+                    lines.a[own],
+                    spans_without(words.hashes, lines.first[cut_row], lines.n[cut_row], cut - lines.first[cut_row]),
+                    mixed((before ^ _PLACE) + mixed(after + at.astype(np.uint64))),
+                ]
+                rows = np.concatenate([own, cut_row, placed_row])
+                role = np.repeat(np.array([0, 1, 2], np.int32), [len(own), len(cut), len(placed)])
+                yield pa.record_batch([batch.column("first").take(pa.array(first + lines.row[rows])), _long(np.concatenate(hashes)), pa.array(role)], ["first", "key", "role"])
 
     return run
 
 
+def line_words(line: Column) -> Column:
+    """The words of a line, A-Z lower-cased."""
+    upper = "".join(chr(c) for c in range(ord("A"), ord("Z") + 1))
+    return F.array_remove(F.split(F.translate(line, upper + SPACES, upper.lower() + " " * len(SPACES)), " "), "")
+
+
 def within_one(a: Column, b: Column) -> Column:
     """Whether word arrays differ by at most one edit: what is left of the longer one between
     the common start and the common end is one word at most."""
@@ -154,33 +158,56 @@ def within_one(a: Column, b: Column) -> Column:
     return F.greatest(n, m) - F.least(start + end, shorter) <= 1
 
 
-def earlier_lines(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``texts`` (id, h, text) to (a, b), the hashes of long lines with an earlier neighbour."""
-    kind = texts.schema["id"].dataType.simpleString()
-    context = texts.sparkSession.sparkContext
+def _shared(keys: DataFrame) -> DataFrame:
+    """``keys`` (piece, longer, b) to (piece, equal, across): pieces that two lines of one length
+    share, and pieces that a line shares with one of a word more."""
+    short = F.when(~F.col("longer"), F.col("b"))
+    found = keys.groupBy("piece").agg(F.min(short).alias("low"), F.max(short).alias("high"), F.max("longer").alias("longer"))
+    met = found.select("piece", F.coalesce(F.col("low") != F.col("high"), F.lit(False)).alias("equal"), (F.col("low").isNotNull() & F.col("longer")).alias("across"))
+    return checkpointed(met.where("equal or across"))
 
-    def shared(frame: DataFrame, column: str, parts: int):
-        keys = frame.select(column).mapInArrow(_pieces(column, least_words, parts), "piece long, a long")
-        keys = keys.groupBy("piece").agg(F.min("a").alias("low"), F.max("a").alias("high")).where("low <> high")
-        return context.broadcast(Bitmap(checkpointed(keys.select("piece")), "piece"))
 
-    held = shared(texts, "text", HALVES)
-    likely = texts.mapInArrow(_likely(least_words, held), f"id {kind}, h int, at int, a long, b long, line string")
-    likely = checkpointed(likely.groupBy("a", "b").agg(F.min(place()).alias("first"), F.first("line").alias("line")))
+def likely_lines(texts: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Rows (a, b, first, line) of the distinct lines that share a half with another line."""
+    held = texts.sparkSession.sparkContext.broadcast
 
+    def halves(frame: DataFrame) -> DataFrame:
+        return frame.select("a", "b", "first", F.posexplode("halves").alias("k", "piece")).withColumn("longer", F.col("k") >= HALVES)
+
+    shared = _shared(halves(distinct))
+    near = halves(distinct.where(maybe_in(F.col("halves"), held(Sieve(shared, "piece")))))
+    near = near.join(shared, "piece").where("across or (equal and not longer)").groupBy("a", "b").agg(F.first("first").alias("first"))
+    near = checkpointed(near.select("a", "b", "first", F.xxhash64("first.id", "first.h").alias("text_key"), F.xxhash64("first.id", "first.h", "first.at").alias("line_key")))
+
+    holders = texts.where(maybe_in(F.xxhash64("id", "h"), held(Sieve(near, "text_key"))))
+    lines = holders.select("id", "h", F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    lines = lines.where(maybe_in(F.xxhash64("id", "h", "at"), held(Sieve(near, "line_key"))))
+    lines = lines.select(place().alias("first"), F.xxhash64("id", "h", "at").alias("line_key"), "line")
+    found = near.join(lines.withColumnRenamed("first", "at"), "line_key").where(F.col("first").eqNullSafe(F.col("at")))
+    return written(found.groupBy("a", "b").agg(F.first("first").alias("first"), F.first("line").alias("line")))
+
+
+def earlier_lines(likely: DataFrame) -> DataFrame:
+    """``likely`` (a, b, first, line) to (a, b) of lines that have an earlier neighbour."""
+    held = likely.sparkSession.sparkContext.broadcast
+    shared = _shared(likely.select("line").mapInArrow(_eighths, "piece long, longer boolean, b long"))
+    variants = _variants(*(held(Sieve(shared.where(kind), "piece")) for kind in ("equal", "across")))
     shape = likely.schema["first"].dataType.simpleString()
-    finer = shared(likely, "line", PIECES)
-    emitted = likely.select("first", "line").mapInArrow(_variants(finer), f"first {shape}, key long, role int")
-    own, cut, placed = (F.min(F.when(F.col("role") == r, F.col("first"))).alias(n) for r, n in enumerate(("own", "cut", "placed")))
-    met = emitted.groupBy("key").agg(own, cut, placed, F.count("*").alias("times")).where("times > 1")
+    emitted = likely.select("first", "line").mapInArrow(variants, f"first {shape}, key long, role int")
+
+    def by_role(pick, role: int) -> Column:
+        return pick(F.when(F.col("role") == role, F.col("first")))
+
+    met = emitted.groupBy("key").agg(by_role(F.min, 0).alias("own"), by_role(F.min, 1).alias("cut"), by_role(F.min, 2).alias("placed"), by_role(F.max, 2).alias("last"))
+    met = met.where("(own is not null and cut is not null) or placed <> last").drop("last")
     met = checkpointed(met)  # so that the join's side with hot keys is an exchange Spark can split
     # A whole line meets lines with one word more; those meet it, not each other; places meet places.
     by = F.when(F.col("role") == 0, F.col("cut")).when(F.col("role") == 1, F.col("own")).otherwise(F.col("placed"))
-    found = likely_in(emitted, "key", met, "key").join(met, "key").select("first", by.alias("by")).where("by < first")
+    found = emitted.where(maybe_in(F.col("key"), held(Sieve(met, "key")))).join(met, "key").select("first", by.alias("by")).where("by < first")
     earliest = found.groupBy("first").agg(F.min("by").alias("by"))
     other = likely.select(F.col("first").alias("by"), F.col("line").alias("by_line"))
     pairs = likely.join(earliest, "first").join(other, "by")
-    return pairs.where(within_one(F.split("line", " "), F.split("by_line", " "))).select("a", "b")
+    return pairs.where(within_one(line_words(F.col("line")), line_words(F.col("by_line")))).select("a", "b")
 
 
 def place() -> Column:
@@ -191,11 +218,13 @@ def place() -> Column:
 def dropped_lines(texts: DataFrame, least_words: int = LEAST_WORDS) -> DataFrame:
     """``texts`` (id, h, text) to (id, h, gone), the places of the lines that go."""
     kind = texts.schema["id"].dataType.simpleString()
-    lines = texts.mapInArrow(_lines, f"id {kind}, h int, at int, a long, b long")
-    firsts = lines.groupBy("a", "b").agg(F.min(place()).alias("first"), F.count("*").alias("times")).where("times > 1").select("a", "b", "first", F.lit(False).alias("near"))
-    near = earlier_lines(texts, least_words).select("a", "b", F.lit(None).cast(firsts.schema["first"].dataType).alias("first"), F.lit(True).alias("near"))
+    lines = written(texts.mapInArrow(_lines(least_words), f"id {kind}, h int, at int, a long, b long, halves array<long>"))
+    distinct = written(lines.groupBy("a", "b").agg(F.min(place()).alias("first"), F.count("*").alias("times"), F.first("halves").alias("halves")))
+    firsts = distinct.where("times > 1").select("a", "b", "first", F.lit(False).alias("near"))
+    near = earlier_lines(likely_lines(texts, distinct)).select("a", "b", F.lit(None).cast(firsts.schema["first"].dataType).alias("first"), F.lit(True).alias("near"))
     known = checkpointed(firsts.union(near).groupBy("a", "b").agg(F.max("first").alias("first"), F.max("near").alias("near")))
-    met = likely_in(lines, "a", known, "a").join(known, ["a", "b"])
+    held = texts.sparkSession.sparkContext.broadcast(Sieve(known, "b"))
+    met = lines.drop("halves").where(maybe_in(F.col("b"), held)).join(known, ["a", "b"])
     gone = met.where(F.col("near") | (F.col("first").isNotNull() & (place() != F.col("first"))))
     return gone.groupBy("id", "h").agg(F.collect_set("at").alias("gone"))
 
@@ -217,9 +246,10 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # Only texts that may lose lines are shuffled; the others stay where they are.
     gone = checkpointed(gone.withColumn("key", F.xxhash64("id", "h")))
     keyed = rows.withColumn("key", F.xxhash64("row_id", "row_h"))
-    losing = likely_in(keyed, "key", gone, "key")
+    held = docs.sparkSession.sparkContext.broadcast(Sieve(gone, "key"))
+    losing = keyed.where(maybe_in(F.col("key"), held))
     same = losing["row_id"].eqNullSafe(gone["id"]) & (losing["row_h"] == gone["h"])
-    whole = likely_in(keyed, "key", gone, "key", inside=False).select("row", "text", F.lit(None).cast("array<int>").alias("gone"))
+    whole = keyed.where(~maybe_in(F.col("key"), held)).select("row", "text", F.lit(None).cast("array<int>").alias("gone"))
     joined = losing.join(gone, same, "left").select("row", "text", "gone").union(whole)
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda line, at: ~F.coalesce(F.array_contains("gone", at), F.lit(False)))
