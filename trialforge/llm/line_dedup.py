@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .bitmap import Sieve, maybe_in
 from .common import SPACES, checkpointed, packed, unpacked, written
-from .words import Words, mixed, spans, spans_without, text_words
+from .words import _ODD_INVERSE, ODD, Words, mixed, powers, spans_without, text_words
 
 HALVES, PIECES = 2, 8  # cuts of a line in the first and the second look for likely neighbours
 LEAST_WORDS = 4  # lines with fewer words, of which an edit changes a third or more, are only compared for equality
@@ -42,14 +42,21 @@ class Lines:
         first = np.flatnonzero(np.concatenate([[True], (np.diff(line) != 0) | (np.diff(row) != 0)])) if len(row) else np.empty(0, np.int64)
         self.row, self.at, self.first = row[first], line[first], first
         self.n = np.diff(np.append(first, len(row)))
-        self.a = spans(words.hashes, first, self.n)
+        self.sums = np.zeros(len(row) + 1, np.uint64)
+        np.cumsum(words.hashes * powers(ODD, len(row)), out=self.sums[1:])
+        self.shift = powers(_ODD_INVERSE, len(row) + 1)
+        self.a = self.run(first, self.n)
         # Not a polynomial, so no line that fools the first hash fools the second too.
         place = np.arange(len(row)) - np.repeat(first, self.n)
         sums = np.zeros(len(row) + 1, np.uint64)
         np.cumsum(mixed(words.hashes ^ mixed(place.astype(np.uint64) + _SECOND)), out=sums[1:])
         self.b = mixed(sums[first + self.n] - sums[first] + self.n.astype(np.uint64))
 
-    def pieces(self, words: Words, parts: int) -> np.ndarray:
+    def run(self, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """What ``spans`` gives for runs of words, from sums made once."""
+        return mixed((self.sums[start + length] - self.sums[start]) * self.shift[start] + length.astype(np.uint64))
+
+    def pieces(self, parts: int) -> np.ndarray:
         """For each line, twice ``parts`` keys; two lines within one edit share at least one.
 
         A line is cut into ``parts`` pieces, and a key stands for all of it but one piece.  The
@@ -61,8 +68,8 @@ class Lines:
         for m in (self.n, self.n - 1):
             for k in range(parts):
                 head, tail = k * m // parts, m - (k + 1) * m // parts
-                one = spans(words.hashes, self.first, head)
-                two = spans(words.hashes, self.first + self.n - tail, tail)
+                one = self.run(self.first, head)
+                two = self.run(self.first + self.n - tail, tail)
                 keys.append(mixed((one ^ _HEAD) + mixed(two + (m * parts + k).astype(np.uint64))))
         return np.stack(keys, axis=1)
 
@@ -85,7 +92,7 @@ def _lines(least: int):
                 lines = Lines(words)
                 long = lines.n >= least
                 ends = np.concatenate([[0], np.cumsum(long * 2 * HALVES)]).astype(np.int32)
-                halves = pa.ListArray.from_arrays(pa.array(ends), _long(lines.pieces(words, HALVES)[long].ravel()))
+                halves = pa.ListArray.from_arrays(pa.array(ends), _long(lines.pieces(HALVES)[long].ravel()))
                 yield pa.record_batch([*_who(batch, first, lines.row), pa.array(lines.at.astype(np.int32)), _long(lines.a), _long(lines.b), halves], ["id", "h", "at", "a", "b", "halves"])
 
     return run
@@ -97,7 +104,7 @@ def _eighths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, words in text_words(batch.column("line"), lower=True):
             lines = Lines(words)
             longer = np.tile(np.repeat([False, True], PIECES), len(lines.n))
-            yield pa.record_batch([_long(lines.pieces(words, PIECES).ravel()), pa.array(longer), _long(np.repeat(lines.b, 2 * PIECES))], ["piece", "longer", "b"])
+            yield pa.record_batch([_long(lines.pieces(PIECES).ravel()), pa.array(longer), _long(np.repeat(lines.b, 2 * PIECES))], ["piece", "longer", "b"])
 
 
 def _variants(equal, across):
@@ -120,7 +127,7 @@ def _variants(equal, across):
         for batch in batches:
             for first, _, words in text_words(batch.column("line"), lower=True):
                 lines = Lines(words)
-                keys = lines.pieces(words, PIECES)
+                keys = lines.pieces(PIECES)
                 same = equal.value.has(keys[:, :PIECES].ravel()).reshape(-1, PIECES)
                 other = across.value.has(keys.ravel()).reshape(-1, 2 * PIECES)
                 own = np.flatnonzero(other[:, :PIECES].any(axis=1))
@@ -129,7 +136,7 @@ def _variants(equal, across):
                 cut_row, placed_row = (np.searchsorted(lines.first, w, "right") - 1 for w in (cut, placed))
                 start, n = lines.first[placed_row], lines.n[placed_row]
                 at = placed - start
-                before, after = spans(words.hashes, start, at), spans(words.hashes, placed + 1, n - at - 1)
+                before, after = lines.run(start, at), lines.run(placed + 1, n - at - 1)
                 hashes = [
                     lines.a[own],
                     spans_without(words.hashes, lines.first[cut_row], lines.n[cut_row], cut - lines.first[cut_row]),
@@ -168,7 +175,7 @@ def _shared(keys: DataFrame) -> DataFrame:
 
 
 def likely_lines(texts: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Rows (a, b, first, line) of the distinct lines that share a half with another line."""
+    """Rows (a, b, first, line, words) of the distinct lines that share a half with another line."""
     held = texts.sparkSession.sparkContext.broadcast
 
     def halves(frame: DataFrame) -> DataFrame:
@@ -184,11 +191,13 @@ def likely_lines(texts: DataFrame, distinct: DataFrame) -> DataFrame:
     lines = lines.where(maybe_in(F.xxhash64("id", "h", "at"), held(Sieve(near, "line_key"))))
     lines = lines.select(place().alias("first"), F.xxhash64("id", "h", "at").alias("line_key"), "line")
     found = near.join(lines.withColumnRenamed("first", "at"), "line_key").where(F.col("first").eqNullSafe(F.col("at")))
-    return written(found.groupBy("a", "b").agg(F.first("first").alias("first"), F.first("line").alias("line")))
+    found = found.groupBy("a", "b").agg(F.first("first").alias("first"), F.first("line").alias("line"))
+    # Words are written: as an expression, each step of the folds that compare lines would cut them again.
+    return written(found.withColumn("words", line_words(F.col("line"))))
 
 
 def earlier_lines(likely: DataFrame) -> DataFrame:
-    """``likely`` (a, b, first, line) to (a, b) of lines that have an earlier neighbour."""
+    """``likely`` (a, b, first, line, words) to (a, b) of lines that have an earlier neighbour."""
     held = likely.sparkSession.sparkContext.broadcast
     shared = _shared(likely.select("line").mapInArrow(_eighths, "piece long, longer boolean, b long"))
     variants = _variants(*(held(Sieve(shared.where(kind), "piece")) for kind in ("equal", "across")))
@@ -205,9 +214,9 @@ def earlier_lines(likely: DataFrame) -> DataFrame:
     by = F.when(F.col("role") == 0, F.col("cut")).when(F.col("role") == 1, F.col("own")).otherwise(F.col("placed"))
     found = emitted.where(maybe_in(F.col("key"), held(Sieve(met, "key")))).join(met, "key").select("first", by.alias("by")).where("by < first")
     earliest = found.groupBy("first").agg(F.min("by").alias("by"))
-    other = likely.select(F.col("first").alias("by"), F.col("line").alias("by_line"))
+    other = likely.select(F.col("first").alias("by"), F.col("words").alias("by_words"))
     pairs = likely.join(earliest, "first").join(other, "by")
-    return pairs.where(within_one(line_words(F.col("line")), line_words(F.col("by_line")))).select("a", "b")
+    return pairs.where(within_one(F.col("words"), F.col("by_words"))).select("a", "b")
 
 
 def place() -> Column:
@@ -256,5 +265,5 @@ def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counts = F.coalesce(F.size(lines), F.lit(0))
     return joined.select(
         *unpacked(joined, "row"), F.col("text").alias(text_col), F.when(F.col("text").isNull(), 0).otherwise(counts).cast("long").alias("n_lines"),
-        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.array_join(kept, "\n").alias("kept_text"),
+        F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept_text"),
     )
