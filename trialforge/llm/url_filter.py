@@ -149,16 +149,17 @@ def surest_sets(asked: DataFrame, rest: DataFrame, least_urls: int, least_confid
     The confidence is that of the surest set of classes in ``held`` that ``least_urls`` blocked URLs of ``rest`` have
     and that reaches ``least_confidence``.
     """
-    asked = checkpointed(beside(asked.where(other_class() & (F.coalesce("confidence", F.lit(0.0)) < 1))))
-    questions = asked.groupBy("key", "beside").agg(F.min(F.coalesce("confidence", F.lit(0.0))).alias("known"))
+    known = F.coalesce("confidence", F.lit(0.0)).alias("known")
+    asked = checkpointed(asked.where(other_class() & (F.coalesce("confidence", F.lit(0.0)) < 1)).select("held", known, F.monotonically_increasing_id().alias("id")))
+    questions = beside(asked).drop("held")
     pieces = checkpointed(questions.groupBy("key").agg(F.ceil(F.count("*") / ASKED).alias("pieces")))
     questions = questions.join(pieces, "key").withColumn("piece", F.pmod(F.xxhash64("beside"), "pieces")).drop("pieces")
     sets = beside(rest).groupBy("key", "beside").agg(F.sum("urls").alias("urls"), F.sum("bad").alias("bad"))
     sets = sets.join(pieces, "key").withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).drop("pieces")
     found = sets.groupBy("key", "piece").cogroup(questions.groupBy("key", "piece")).applyInArrow(
-        _surest(least_urls, math.nextafter(least_confidence, -1.0)), "key string, beside array<string>, confidence double"
+        _surest(least_urls, math.nextafter(least_confidence, -1.0)), "id long, confidence double"
     )
-    return asked.drop("confidence").join(found, ["key", "beside"]).groupBy("held").agg(F.max("confidence").alias("confidence"))
+    return asked.join(found.groupBy("id").agg(F.max("confidence").alias("confidence")), "id").select("held", "confidence")
 
 
 def _surest(least: int, floor: float):
@@ -173,13 +174,14 @@ def _surest(least: int, floor: float):
         has = np.zeros((len(sets), len(coded.dictionary)), bool)
         has[row, code] = True
         has = has[:, often]
+        alike = {}
+        for n, known, asked in zip(*(questions[c].to_pylist() for c in ("id", "known", "beside"))):
+            alike.setdefault(tuple(column[c] for c in asked if c in column), []).append((n, max(known, floor)))
         out = []
-        for key, asked, known in zip(*(questions[c].to_pylist() for c in ("key", "beside", "known"))):
-            start = max(known, floor)
-            best = surest_set(has[:, [column[c] for c in asked if c in column]], bad, urls - bad, least, start)
-            if best > start:
-                out.append({"key": key, "beside": asked, "confidence": best})
-        return pa.Table.from_pylist(out, pa.schema([("key", pa.string()), ("beside", pa.list_(pa.string())), ("confidence", pa.float64())]))
+        for columns, ids in alike.items():
+            best = surest_set(has[:, list(columns)], bad, urls - bad, least, min(start for _, start in ids))
+            out += [{"id": n, "confidence": best} for n, start in ids if best > start]
+        return pa.Table.from_pylist(out, pa.schema([("id", pa.int64()), ("confidence", pa.float64())]))
 
     return search
 
